@@ -122,7 +122,7 @@ def _identifiers(text: Column, cut: str, known: list[str]) -> tuple[Column, Colu
     """Numbers of the known sentences in order, and the count of all sentences with words."""
     marked = F.regexp_replace(text, cut, "\x01")
     clean = F.regexp_replace(F.translate(marked, UPPER, LOWER), NOT_WORD, " ")
-    parts = F.filter(F.transform(F.split(clean, "\x01"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(clean, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
     table = F.array(*map(F.lit, known))
     return F.filter(F.transform(parts, lambda s: F.array_position(table, s)), lambda i: i > 0), F.size(parts)
 
@@ -139,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = d.withColumn("hits", F.when((F.col("w") != ",,") | (F.col("l") != ",,"), F.array_sort(F.array_distinct(F.array_compact(hit)))).otherwise(F.array().cast("array<struct<license: string, kind: string>>")))
     kinds = F.transform("hits", lambda h: h.kind)
     verdict = F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(k)) for k in KINDS], F.lit("none"))
-    return d.select("doc_id", "n_sentences", F.trim(F.lit(","), F.col("l")).alias("sentence_ids"), F.array_join(F.transform("hits", lambda h: h.license), ",").alias("licenses"), verdict.alias("verdict"))
+    return d.select("doc_id", "n_sentences", F.trim(F.col("l"), F.lit(",")).alias("sentence_ids"), F.array_join(F.transform("hits", lambda h: h.license), ",").alias("licenses"), verdict.alias("verdict"))
 
 
 def oracle() -> str:
