@@ -39,10 +39,22 @@ MEMO_WORDS = 800_000
 _ENCODERS: dict[str, "Encoder"] = {}
 #: Beyond these characters the pre-tokenizer's classes may differ from Python's.
 _PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏА-я]")
-_GAP = re.compile(r"\s\s|[\x00\t\r\x0b\x0c\x1c-\x1f]|^\s|\s$")
+#: With any of these inside (or white space at an end) white space doesn't come one at a time.
+_GAPS = ("  ", "\n\n", " \n", "\n ", *"\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 _CUT = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+class _Spelling(dict):
+    """Code point to its byte-level spelling, as the pre-tokenizer gives it."""
+
+    def __init__(self, spell):
+        self.spell = spell
+
+    def __missing__(self, cp: int) -> str:
+        out = self[cp] = self.spell(chr(cp))[0][0]
+        return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, words remembered."""
 
@@ -52,10 +64,10 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.word_ids: dict[str, list[int]] = {}
-        self.line = self.model.encode("\n", add_special_tokens=False).ids
         cut = self.model.pre_tokenizer
-        self.cuts = len(self.line) == 1 and "ByteLevel" in type(cut).__name__ and [x for x, _ in cut.pre_tokenize_str(" a, b's\n c")] == ["Ġa", ",", "Ġb", "'s", "Ċ", "Ġc"]
+        self.cuts = self.model.normalizer is None and self.model.post_processor is None and "ByteLevel" in type(cut).__name__ and [x for x, _ in cut.pre_tokenize_str(" a, b's\n c")] == ["Ġa", ",", "Ġb", "'s", "Ċ", "Ġc"]
         self.special = [str(t) for t in (x.content for x in self.model.get_added_tokens_decoder().values())]
+        self.spelling = _Spelling(cut.pre_tokenize_str)
         self.reset()
 
     def reset(self):
@@ -77,28 +89,19 @@ class Encoder:
         self.known += len(found)
 
     def plain(self, text: str) -> bool:
-        return self.cuts and not _PLAIN.search(text) and not _GAP.search(text) and not any(s in text for s in self.special)
+        if not self.cuts or any(g in text for g in _GAPS) or text[:1].isspace() or text[-1:].isspace():
+            return False
+        return (text.isascii() or not _PLAIN.search(text)) and not any(s in text for s in self.special)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Keep the ids of new pieces: those of their parts, unknown parts encoded together."""
+        """Keep the ids of new pieces: those of their parts, each encoded by the model once."""
         cut = [_CUT.findall(p) for p in pieces]
-        new = list({w for parts in cut for w in parts if w not in self.word_ids})
-        plain = [w for w in new if "\n" not in w]
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            ids = self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids
-            at, out = 0, []
-            for j, x in enumerate([*ids, self.line[0]]):
-                if x == self.line[0]:
-                    out.append(ids[at:j])
-                    at = j + 1
-            self.word_ids.update(zip(some, out) if len(out) == len(some) else ((w, self.model.encode(w, add_special_tokens=False).ids) for w in some))
-        for w in new:
-            if "\n" in w:
-                self.word_ids[w] = self.model.encode(w, add_special_tokens=False).ids
+        known, model, spelling = self.word_ids, self.model.model, self.spelling
+        for w in {w for parts in cut for w in parts} - known.keys():
+            known[w] = [t.id for t in model.tokenize(w.translate(spelling))]
         self._append([[x for w in parts for x in self.word_ids[w]] for parts in cut])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
