@@ -12,7 +12,8 @@ the attempt and renamed when complete, so a lost executor or a repeated task lea
 files only. Starting points across files follow from the files' totals (a row per file).
 
 Words are encoded once per worker: a text is cut where the vocabulary's own pre-tokenizer
-would cut, and the pieces' ids are kept in a bounded memo that is emptied when full.
+would cut, and the ids of up to ``MEMO_PIECES`` pieces are remembered (all are forgotten when
+there are more).
 
 Defined results: a null text is encoded as an empty one: the end id alone. Null ids come
 first. Rows that repeat an id follow each other in order of their texts. Texts of any length
@@ -26,6 +27,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain, repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import shared_dir, ship
 
-MEMO_WORDS = 800_000
+MEMO_PIECES = 1_500_000
 _ENCODERS: dict[str, "Encoder"] = {}
 #: Beyond these characters the pre-tokenizer's classes may differ from Python's.
 _PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏА-я]")
@@ -63,7 +65,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.word_ids: dict[str, list[int]] = {}
         cut = self.model.pre_tokenizer
         self.cuts = self.model.normalizer is None and self.model.post_processor is None and "ByteLevel" in type(cut).__name__ and [x for x, _ in cut.pre_tokenize_str(" a, b's\n c")] == ["Ġa", ",", "Ġb", "'s", "Ċ", "Ġc"]
         self.special = [str(t) for t in (x.content for x in self.model.get_added_tokens_decoder().values())]
@@ -71,22 +72,21 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.word_ids.clear()
         self.codes: dict[str, int] = {}
+        self.short: dict[str, list[int]] = {}  # ids of words of up to three characters
         self.ids = np.zeros(1 << 16, np.uint32)  # of all known pieces, one after another
         self.starts = np.zeros(1 << 16, np.int64)  # of piece i in ids; piece i + 1 begins where it ends
         self.known = 0
 
-    def _append(self, found: list[list[int]]) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at, n = int(self.starts[self.known]), int(sizes.sum())
+    def _append(self, ids: list[int], sizes: list[int]) -> None:
+        at, n = int(self.starts[self.known]), len(ids)
         while at + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(found) + 1 > len(self.starts):
+        while self.known + len(sizes) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[at : at + n] = np.fromiter((x for f in found for x in f), np.uint32, n)
-        self.starts[self.known + 1 : self.known + 1 + len(found)] = at + np.cumsum(sizes)
-        self.known += len(found)
+        self.ids[at : at + n] = ids
+        self.starts[self.known + 1 : self.known + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.known += len(sizes)
 
     def plain(self, text: str) -> bool:
         if not self.cuts or any(g in text for g in _GAPS) or text[:1].isspace() or text[-1:].isspace():
@@ -97,31 +97,41 @@ class Encoder:
         return [np.asarray(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Keep the ids of new pieces: those of their parts, each encoded by the model once."""
-        cut = [_CUT.findall(p) for p in pieces]
-        known, model, spelling = self.word_ids, self.model.model, self.spelling
-        for w in {w for parts in cut for w in parts} - known.keys():
-            known[w] = [t.id for t in model.tokenize(w.translate(spelling))]
-        self._append([[x for w in parts for x in self.word_ids[w]] for parts in cut])
+        """Keep the ids of new pieces: those of their words, as the model encodes them."""
+        ids: list[int] = []
+        sizes: list[int] = []
+        tokenize, spelling, short, cut = self.model.model.tokenize, self.spelling, self.short, _CUT.findall
+        for p in pieces:
+            had = len(ids)
+            for w in cut(p):
+                of = short.get(w)
+                if of is None:
+                    of = [t.id for t in tokenize(w.translate(spelling))]
+                    if len(w) <= 3:
+                        short[w] = of
+                ids += of
+            sizes.append(len(ids) - had)
+        self._append(ids, sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
-        if len(self.codes) + len(self.word_ids) > MEMO_WORDS:
+        if len(self.codes) > MEMO_PIECES:
             self.reset()
         plain = [self.plain(t) for t in texts]
         odd = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         # a space begins the next piece; so does a line end, which then takes the place of a space
         pieces = [(" \x00" + t).replace("\n", " \n").split(" ")[1:] if p and t else [] for t, p in zip(texts, plain)]
-        every = [x for p in pieces for x in p]
+        every = list(chain.from_iterable(pieces))
         known = self.codes
-        unknown = list({x for x in every if x not in known})
-        if unknown:
-            n = self.known
+        codes = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            unknown = list({every[i] for i in missing})
+            first = self.known
             # \x00: first of a text, without a space before it
             self.learn([x[1:] if x[:1] == "\x00" else x if x[:1] == "\n" else " " + x for x in unknown])
-            for i, x in enumerate(unknown):
-                known[x] = n + i
-        codes = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+            known.update(zip(unknown, range(first, self.known)))
+            codes[missing] = [known[every[i]] for i in missing]
         starts = self.starts
         n_of = (starts[codes + 1] - starts[codes]) if len(codes) else np.zeros(0, np.int64)
         total = int(n_of.sum())
