@@ -25,6 +25,7 @@ scored whole. An empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +34,45 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import ship, stored
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: distinct grams scored at once, and scored grams that a worker keeps
+SLICE, KEPT = 1 << 16, 1 << 21
+_SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def normalised(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+    return _SPACES.sub(b" ", (text or b"").lower()).strip(b" ")
 
 
-def grams(data: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The (depth + 1)-gram that ends at each symbol, oldest byte first, and symbols per text."""
-    pad = bytes([START]) * depth
-    joined = np.frombuffer(b"".join(pad + d + bytes([END]) for d in data), np.uint8)
-    size = np.array([len(d) + 1 for d in data], np.int64)
+def grams(parts: list[tuple[bytes, bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """parts: (the ``depth`` bytes before, symbols). The (depth + 1)-gram that ends at each
+    symbol, oldest byte first, and the number of symbols of each part."""
+    joined = np.frombuffer(b"".join(before + d for before, d in parts), np.uint8)
+    size = np.array([len(d) for _, d in parts], np.int64)
     g = np.zeros(max(0, len(joined) - depth), np.uint64)
     for i in range(depth + 1):
-        g = (g << np.uint64(8)) | joined[i : i + len(g)].astype(np.uint64)
-    # positions that end inside a pad belong to no text
+        g = (g << np.uint64(8)) | joined[i : i + len(g)]
+    # positions that end inside the bytes before a part belong to no part
     begin = np.cumsum(size + depth) - (size + depth)
     keep = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     return g[keep], size
 
 
-def _pieces(texts: list[bytes | None], most: int = CHUNK):
-    """(index of the text, part, context before it, whether it ends the text) in groups of about ``most`` bytes."""
+def _pieces(texts: list[bytes | None], depth: int, most: int = CHUNK):
+    """Groups of at most ``most`` symbols of (index of the text, the bytes before, symbols):
+    all texts in order, each with its end symbol, long ones cut."""
     group, held = [], 0
     for i, t in enumerate(texts):
-        d = normalised(t)
-        group.append((i, d))
-        held += len(d) + 1
-        if held >= most:
-            yield group
-            group, held = [], 0
+        d, at = normalised(t) + bytes([END]), 0
+        before = bytes([START]) * depth
+        while at < len(d):
+            part = d[at : at + most - held]
+            group.append((i, before, part))
+            before = (before + part)[len(part) :]
+            at, held = at + len(part), held + len(part)
+            if held == most:
+                yield group
+                group, held = [], 0
     if group:
         yield group
 
@@ -89,8 +98,8 @@ def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["gram", "n"])
 
         for b in batches:
-            for group in _pieces(b.column(0).cast(pa.binary()).to_pylist()):
-                k, n = np.unique(grams([d for _, d in group], depth)[0], return_counts=True)
+            for group in _pieces(b.column(0).cast(pa.binary()).to_pylist(), depth):
+                k, n = np.unique(grams([p for _, *p in group], depth)[0], return_counts=True)
                 held.append((k, n.astype(np.int64)))
                 size += len(k)
                 if size > 4_000_000:
@@ -130,6 +139,28 @@ class Tree:
 
     def __init__(self, levels: list[tuple[np.ndarray, ...]]):
         self.levels = levels
+        self.forget()
+
+    def forget(self) -> None:
+        self.kept = np.zeros(0, np.uint64), np.zeros(0)
+
+    def scores(self, gram: np.ndarray) -> np.ndarray:
+        """As ``log10``, for any grams; those scored are kept, up to ``KEPT`` of them."""
+        gram, where = np.unique(gram, return_inverse=True)
+        keys, values = self.kept
+        at, hit = self._find(keys, gram)
+        out = values[at] if len(keys) else np.zeros(len(gram))
+        new = np.flatnonzero(~hit)
+        for i in range(0, len(new), SLICE):
+            some = new[i : i + SLICE]
+            out[some] = self.log10(gram[some])
+        if len(new):
+            if len(keys) + len(new) > KEPT:
+                self.forget()
+                keys, values = self.kept
+            place = np.searchsorted(keys, gram[new])
+            self.kept = np.insert(keys, place, gram[new]), np.insert(values, place, out[new])
+        return out[where]
 
     @staticmethod
     def nodes(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

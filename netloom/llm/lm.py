@@ -96,10 +96,9 @@ def score(docs: DataFrame, tree: Tree, base: Base, id_col: str = "doc_id", text_
                 known = [x for x in found if x is not None]
                 tokens[i], seen[i], sums[i] = len(words) + 1, len(known) + end_seen, math.fsum(known) + end_log
                 rare.append([w for w, x in zip(words, found) if x is None] if len(known) < len(words) else [])
-            for group in _pieces(texts):
-                g, size = grams([d for _, d in group], depth)
-                each, where = np.unique(g, return_inverse=True)
-                total[[i for i, _ in group]] = np.add.reduceat(tree.log10(each)[where], np.cumsum(size) - size)
+            for group in _pieces(texts, depth):
+                g, size = grams([p for _, *p in group], depth)
+                np.add.at(total, [i for i, *_ in group], np.add.reduceat(tree.scores(g), np.cumsum(size) - size))
             rows = np.arange(row, row + n)
             row += n
             yield pa.RecordBatch.from_arrays(
