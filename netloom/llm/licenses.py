@@ -118,23 +118,31 @@ def rule_pattern(ids: list[int]) -> str:
     return "," + ",(?:[0-9]+,)*".join(map(str, ids)) + ","
 
 
-def _identifiers(text: Column, cut: str, known: list[str]) -> tuple[Column, Column]:
-    """Numbers of the known sentences in order, and the count of all sentences with words."""
-    marked = F.regexp_replace(text, cut, "\x01")
-    clean = F.regexp_replace(F.translate(marked, UPPER, LOWER), NOT_WORD, " ")
-    parts = F.filter(F.transform(F.split(clean, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+def beginnings(known: list[str]) -> str:
+    """A pattern for raw sentences that begin with the first two words of a known one: all
+    that can be known, so only these are normalised and looked up."""
+    first = sorted({"[^A-Za-z0-9]+".join(k.split()[:2]) for k in known})
+    return "(?i)^[^A-Za-z0-9]*(?:" + "|".join(first) + ")(?![A-Za-z0-9])"
+
+
+def _identifiers(parts: Column, known: list[str]) -> Column:
+    """Numbers of the known sentences among raw ones, in order."""
+    near = F.filter(parts, lambda s: F.rlike(s, F.lit(beginnings(known))))
+    clean = F.transform(near, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), NOT_WORD, " ")))
     table = F.array(*map(F.lit, known))
-    return F.filter(F.transform(parts, lambda s: F.array_position(table, s)), lambda i: i > 0), F.size(parts)
+    return F.filter(F.transform(clean, lambda s: F.array_position(table, s)), lambda i: i > 0)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_sentences int, sentence_ids string, licenses string, verdict string``."""
     known, rules = _pieces()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    wrapped, n = _identifiers(text, SENTENCE_END, known)
-    lines, _ = _identifiers(text, LINE_END, known)
+    # \x01 is a sentence end too; line ends that follow another end belong to it, so cutting sentences at lines is cutting at both
+    d = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END + "|\x01").alias("parts"))
+    n = F.size(F.filter("parts", lambda s: F.rlike(s, F.lit("[A-Za-z0-9]"))))
+    wrapped = _identifiers(F.col("parts"), known)
+    lines = _identifiers(F.flatten(F.transform("parts", lambda s: F.split(s, r"[\r\n]+"))), known)
     joined = lambda ids: F.concat(F.lit(","), F.concat_ws(",", F.transform(ids, lambda i: i.cast("string"))), F.lit(","))
-    d = docs.select(F.col(id_col).alias("doc_id"), n.alias("n_sentences"), joined(wrapped).alias("w"), joined(lines).alias("l"))
+    d = d.select("doc_id", n.alias("n_sentences"), joined(wrapped).alias("w"), joined(lines).alias("l"))
     hit = F.array(*[F.when(F.col("w").rlike(p) | F.col("l").rlike(p), F.struct(F.lit(lic).alias("license"), F.lit(kind).alias("kind"))) for lic, kind, ids in rules for p in [rule_pattern(ids)]])
     d = d.withColumn("hits", F.when((F.col("w") != ",,") | (F.col("l") != ",,"), F.array_sort(F.array_distinct(F.array_compact(hit)))).otherwise(F.array().cast("array<struct<license: string, kind: string>>")))
     kinds = F.transform("hits", lambda h: h.kind)
