@@ -159,8 +159,15 @@ def mixed_documents(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col
     documents of which nothing is taken go. Ids must be unique and not null."""
     got = plan.segments.where("times > 0").groupBy(F.col("doc_id").alias("of"))
     got = got.agg(F.array_sort(F.collect_list(F.struct("start", "stop", "times"))).alias("parts"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    kept = docs.join(got, F.col(id_col) == F.col("of")).withColumn("words", words)
-    one = "transform(filter(parts, p -> p.times >= t), p -> array_join(slice(words, int(p.start + 1), int(p.stop - p.start)), ' '))"
-    text = F.expr(f"array_join(flatten(transform(sequence(1, array_max(transform(parts, p -> int(p.times)))), t -> {one})), ' ')")
+    kept = docs.join(got, F.col(id_col) == F.col("of"))
+
+    def made(words: Column) -> Column:
+        def turn(t: Column) -> Column:
+            return F.transform(F.filter("parts", lambda p: p["times"] >= t), lambda p: F.array_join(F.slice(words, (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")), " "))
+
+        turns = F.array_max(F.transform("parts", lambda p: p["times"].cast("int")))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), turns), turn)), " ")
+
+    # as a variable the words are extracted once a text; as a column they would be inlined and extracted for every part
+    text = F.element_at(F.transform(F.array(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), made), 1)
     return kept.withColumn(text_col, text).select(docs.columns)
