@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship, stored
+from .workers import held, lean
 
 #: byte to byte: A-Z lowered, letters, digits and non-ASCII bytes kept, all else a space
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_AUTOMATA: dict = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -48,18 +48,15 @@ def windows_of(items: list[tuple[str | None, bytes | None]], window: int):
     return number, found
 
 
-def _automaton(key: str, windows: dict):
-    if key not in _AUTOMATA:
-        import ahocorasick
+def _automaton(windows: dict):
+    import ahocorasick
 
-        _AUTOMATA.clear()
-        a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, of in windows.items():
-            a.add_word(w, (len(w), of))
-        if windows:
-            a.make_automaton()
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
+    a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for w, of in windows.items():
+        a.add_word(w, (len(w), of))
+    if windows:
+        a.make_automaton()
+    return a
 
 
 def _scan(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window: int) -> DataFrame:
@@ -71,7 +68,7 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window:
 
     def run(batches):
         number, windows, ids = shared.value
-        automaton = _automaton(key, windows)
+        automaton = held(key, lambda: _automaton(windows))
         get = number.get
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
@@ -102,7 +99,7 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window:
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(hits, spans), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "item_ids"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, spans array<struct<a: long, b: long, start: long, stop: long>>, item_ids array<string>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_words long, spans array<struct<a: long, b: long, start: long, stop: long>>, item_ids array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

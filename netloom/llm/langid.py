@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship
+from .workers import held, lean
 
 STRETCH = 256
 SPACE, OTHER, PAD = 1, 0, 255
-_TABLES: dict = {}
 
 
 def fold_table(alphabet: str) -> np.ndarray:
@@ -176,12 +176,10 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         model = shared.value
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = fold_table(model["alphabet"])
+        table = held(key, lambda: fold_table(model["alphabet"]))
         names = np.array([*model["names"], "und"], object)
         for b in batches:
-            cost, letters = _costs(b.column(1).to_pylist(), model, _TABLES[key])
+            cost, letters = _costs(b.column(1).to_pylist(), model, table)
             n = len(model["names"])
             best = np.argmin(cost, axis=1) if n else np.full(len(letters), 0)
             none = (letters == 0) | (n == 0)
@@ -197,7 +195,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     types = dict(docs.dtypes)
     schema = ", ".join([f"doc_id {types['doc_id']}", *(f"`_k{i}` {types[f'_k{i}']}" for i in range(len(keep))), "lang_pred string, score double, letters long, phrase_bits double"])
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(lean(run), schema)
     for i, c in enumerate(keep):
         out = out.withColumnRenamed(f"_k{i}", c)
     return out

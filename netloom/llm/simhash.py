@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import ship, stored
 from .components import components
+from .workers import lean
 
 FAR = 16
 _MASK = (1 << 64) - 1
@@ -114,7 +115,7 @@ def fingerprints(docs: DataFrame, kinds: dict[str, tuple[int, int]], id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), *found], names=["doc_id", *kinds])
 
     schema = ", ".join(["doc_id long", *(f"{k} long" for k in kinds)])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def _bands(bits: list[int], radius: int) -> list[int]:

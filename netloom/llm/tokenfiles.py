@@ -36,9 +36,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import shared_dir, ship
+from .workers import held, lean
 
 MEMO_PIECES = 1_500_000
-_ENCODERS: dict[str, "Encoder"] = {}
 #: Beyond these characters the pre-tokenizer's classes may differ from Python's.
 _PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏА-я]")
 #: With any of these inside (or white space at an end) white space doesn't come one at a time.
@@ -150,9 +150,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def _fs(url: str):
@@ -237,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [writer.n_docs], "n_tokens": [writer.total]})
 
-    made = dealt.mapInArrow(run, "part long, n_docs long, n_tokens long")
+    made = dealt.mapInArrow(lean(run), "part long, n_docs long, n_tokens long")
     return folder, sorted(made.collect())  # one row per file
 
 
@@ -291,4 +289,4 @@ def read_tokens(spark, folder: str, parts: list) -> DataFrame:
                 yield from out.to_batches(max_chunksize=10_000)
 
     files = spark.createDataFrame(rows, "part long, base long").repartition(len(rows))
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
