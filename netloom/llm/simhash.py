@@ -11,7 +11,8 @@ survivors are verified by their Hamming distance.
 
 A cell with more than ``cell_rows`` members is divided again by the same rule over its
 remaining coordinates, up to twice, so that no link is lost and no large cell is compared
-pairwise as a whole. Equal fingerprints count once: copies are never paired.
+pairwise as a whole. Equal fingerprints count once: copies are never paired. Within a cell a
+pair is given only if no links given before join it, so groups don't grow into all their pairs.
 
 Defined results: a null text has no words, as an empty one, and gets fingerprint zero, linked
 like any other. Repeated rows and rows that share an id each give a row. A null id takes part
@@ -22,7 +23,7 @@ ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -131,50 +132,124 @@ def _table(fp: Column) -> list[Column]:
     return [sum((F.shiftleft(d, 8 * i) for i, d in enumerate(near[j : j + 8])), F.lit(0).cast("long")).alias(f"t{j // 8}") for j in range(0, FAR, 8)]
 
 
-def links(nodes: DataFrame, radius: int = 2, also: Column | None = None, extra: list[str] | None = None, cell_rows: int = 2048) -> DataFrame:
-    """nodes: ``node long, fp long`` and the extra columns that ``also`` (over a.* and b.*) reads.
+def _forest(radius: int, limits: dict[str, int]):
+    """Over rows in order of (cell, key): links that join all linked members of each cell. Pairs
+    are compared at growing offsets, many cells at a time; a pair whose members are joined
+    already gives no row, so a cell gives fewer links than it has members."""
+    width = len(limits)
+
+    def joined(cols: list[np.ndarray], ends: np.ndarray, starts: np.ndarray):
+        node, fp, t0, t1, *more = cols
+        fp, more = fp.view(np.uint64), [x.view(np.uint64) for x in more]
+        tables = np.stack([t0, t1], axis=1).view(np.int8)  # FAR distances, one byte each
+        root, out = np.arange(len(node)), []
+        left, d = np.arange(len(node)), 1
+        while len(left := left[left + d < ends[left]]):
+            i, j = left, left + d
+            keep = np.abs(tables[i] - tables[j]).max(axis=1) <= radius  # the largest coordinate difference
+            i, j = i[keep], j[keep]
+            keep = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (root[i] != root[j])
+            for x, most in zip(more, limits.values()):
+                keep &= np.bitwise_count(x[i] ^ x[j]) <= most
+            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                lo, hi = root[x], root[y]
+                if lo != hi:
+                    part = root[starts[x] : ends[x]]
+                    part[part == hi] = lo
+                    out.append((x, y))
+            d += 1
+        at = np.array(out, np.int64).reshape(-1, 2)
+        return node[at[:, 0]], node[at[:, 1]]
 
-    ``u long, v long``: pairs of nodes whose fingerprints differ in at most ``radius`` bits.
-    """
-    extra = extra or []
+    def run(batches):
+        rest = None  # the last cell of a batch may go on in the next one
+        for b in chain(batches, [None]):
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)] if cols else rest
+            if not cols or not len(cols[0]):
+                continue
+            cell, key = cols[4 + width], cols[5 + width]
+            first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])]))
+            n = len(cell) if b is None else int(first[-1])
+            rest = None if b is None else [x[n:] for x in cols]
+            if n:
+                sizes = np.diff(np.append(first[first < n], n))
+                starts = np.repeat(first[first < n], sizes)
+                u, v = joined([x[:n] for x in cols[: 4 + width]], np.repeat(first[first < n] + sizes, sizes), starts)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return run
+
+
+def _cells(nodes: DataFrame, radius: int, extra: list[str], cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members of cells of at most ``cell_rows``, and those of cells still larger after the last division."""
     base = stored(nodes.select("node", "fp", *extra, *_table(F.col("fp"))), "pivots")
     masks = _bands(list(range(64)), radius)
     parents = [0] * len(masks)
-    cells, done, first = base.withColumn("parent", F.lit(0)), [], 0
+    cells, done, dense, first = base.withColumn("parent", F.lit(0)), [], None, 0
     for level in range(3):
         kids = nodes.sparkSession.createDataFrame(
             [(p, first + i, _signed(m)) for i, (m, p) in enumerate(zip(masks, parents))], "parent int, cell int, mask long"
         )  # a fixed table: its size depends on the radius alone
         cells = cells.join(F.broadcast(kids), "parent")
-        cells = cells.select("node", "fp", *extra, "t0", "t1", "cell", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        if level == 2:
-            done.append(cells)
-            break
+        cells = cells.select("node", "fp", "t0", "t1", *extra, "cell", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         full = cells.groupBy("cell", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("cell", "key")
         full = stored(full, "full-cells")
         if full.isEmpty():
             done.append(cells)
             break
         done.append(cells.join(full, ["cell", "key"], "left_anti").select(cells.columns))
-        cells = stored(cells.join(full, ["cell", "key"], "left_semi").select(cells.columns).withColumnRenamed("cell", "parent").drop("key"), "divided")
+        divided = stored(cells.join(full, ["cell", "key"], "left_semi").select(cells.columns), "divided")
+        if level == 2:
+            dense = divided
+            break
+        cells = divided.withColumnRenamed("cell", "parent").drop("key")
         grown = [(_bands([b for b in range(64) if not m >> b & 1], radius), first + i, m) for i, m in enumerate(masks)]
         first += len(masks)
         masks, parents = [m | x for xs, _, m in grown for x in xs], [p for xs, p, _ in grown for _ in xs]
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionAll(more)
-    a, b = rows.alias("a"), rows.alias("b")
+    return rows, dense
+
+
+def _pairs(cells: DataFrame, radius: int, limits: dict[str, int]) -> DataFrame:
+    """All links within cells, by a join: no task holds a cell as a whole."""
+    a, b = cells.alias("a"), cells.alias("b")
     close = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
     for t in ("t0", "t1"):
         for i in range(8):
             x, y = ((F.shiftright(F.col(f"{s}.{t}"), 8 * i)).bitwiseAND(F.lit(127)) for s in "ab")
             close &= F.abs(x - y) <= radius
-    close &= F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    if also is not None:
-        close &= also
+    for c, most in {"fp": radius, **limits}.items():
+        close &= F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) <= most
     return a.join(b, close).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
+def links(nodes: DataFrame, radius: int = 2, limits: dict[str, int] | None = None, cell_rows: int = 2048) -> DataFrame:
+    """nodes: ``node long, fp long``, and a long for each entry of limits (name: bits).
+
+    ``u long, v long``: all links, that is pairs of nodes whose fingerprints differ in at most
+    ``radius`` bits and those of limits in at most so many. Repeats are possible.
+    """
+    limits = limits or {}
+    rows, dense = _cells(nodes, radius, list(limits), cell_rows)
+    return _pairs(rows if dense is None else rows.unionAll(dense), radius, limits)
+
+
+def joining_links(nodes: DataFrame, radius: int = 2, limits: dict[str, int] | None = None, cell_rows: int = 2048) -> DataFrame:
+    """As ``links``, but only some of them: the ends of each link left out are joined by links
+    that are given. That is enough for components, and a group doesn't grow into all its pairs."""
+    limits = limits or {}
+    ship(nodes.sparkSession)
+    rows, dense = _cells(nodes, radius, list(limits), cell_rows)
+    rows = rows.repartition("cell", "key").sortWithinPartitions("cell", "key")
+    found = rows.mapInArrow(lean(_forest(radius, limits)), "u long, v long")
+    return found if dense is None else found.unionAll(_pairs(dense, radius, limits))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", verify: tuple[int, int, int] | None = None) -> DataFrame:
     """``doc_id long, fp long, component_id long``, one row per input row.
 
@@ -186,8 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     keys = list(kinds)
     node = F.xxhash64(*keys) if verify else F.col("fp")
     nodes = prints.groupBy(*keys).agg(F.min("doc_id").alias("low")).withColumn("node", node)
-    also = F.bit_count(F.col("a.fp2").bitwiseXOR(F.col("b.fp2"))) <= verify[2] if verify else None
-    found = components(links(nodes, radius, also, keys[1:]))
+    found = components(joining_links(nodes, radius, {"fp2": verify[2]} if verify else None))
     of = found.join(nodes.select("node", "low"), "node")
     names = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = found.join(names, "root").select("node", "component_id")

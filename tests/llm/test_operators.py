@@ -116,6 +116,37 @@ def test_links_of_dense_fingerprints(spark, cell_rows, radius):
     assert got == {(a, b) for b in range(len(prints)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= radius}
 
 
+@pytest.mark.parametrize("cell_rows", [2048, 4])
+def test_joining_links(spark, cell_rows):
+    """They are links, and join what all links join; dense groups give fewer than all pairs."""
+    rng = random.Random(3)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    prints = sorted({(c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))) for c in centres for _ in range(60)})
+    other = {p: rng.getrandbits(64) & 0x3FFFFF for p in prints}
+    signed = simhash._signed
+    nodes = spark.createDataFrame([(i, signed(p), signed(other[p])) for i, p in enumerate(prints)], "node long, fp long, fp2 long")
+    every = {(j, i) for i, p in enumerate(prints) for j, q in enumerate(prints[:i]) if (p ^ q).bit_count() <= 6 and (other[p] ^ other[q]).bit_count() <= 10}
+    got = {tuple(sorted(r)) for r in simhash.joining_links(nodes, 6, {"fp2": 10}, cell_rows).collect()}
+    assert got <= every and len(every) > 3000
+
+    def classes(pairs):
+        root = list(range(len(prints)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in root]
+
+    assert classes(got) == classes(every)
+    if cell_rows > 1000:
+        assert len(got) < len(every)
+    assert simhash.joining_links(nodes.limit(0), 6, {"fp2": 10}, cell_rows).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
