@@ -10,11 +10,13 @@ by the evidence of the training texts:
     P_w(s) = (P_kt(s) + prod over children P_w(c s)) / 2
 
 The training counts are those of all (depth + 1)-grams of bytes of all training texts,
-summed by the cluster. Contexts of one depth that hold less than 1 / ``contexts`` of the
-training bytes are leaves' business: the tree ends above them, at every corpus size. So a
-depth has at most ``contexts`` contexts of at most 257 symbols; that bounds what the driver
-gathers and broadcasts. A document's score is the sum of the log10 probabilities of its
-symbols under the trained tree.
+summed by the cluster. Every context that occurs is a context of the tree, at every corpus
+size, so what is learned grows with the corpus. The tree stays a table of grams (``grown``):
+grams that share their nearest ``CUT`` context bytes form a subtree, subtrees are grown in
+tasks and only the levels above them, at most 65,536 contexts a level, are gathered. A
+subtree's grams lie in one task's memory. ``gram_scores`` joins the grams to be scored with
+their subtree. A document's score is the sum of the log10 probabilities of its symbols under
+the trained tree. ``train`` gathers a whole tree, for texts whose grams fit the driver.
 
 Defined results: a null text is scored as an empty one: the end symbol alone. With no
 training texts every bit has probability 1/2. A null id is in no training set and not held
@@ -26,17 +28,22 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship, stored
+from .workers import lean
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 CHUNK = 1 << 20
 #: distinct grams scored at once, and scored grams that a worker keeps
 SLICE, KEPT = 1 << 16, 1 << 21
+#: nearest context bytes that the grams of a subtree share; grams of subtrees grown at once, if of several
+CUT, GROWN = 3, 1 << 18
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -184,10 +191,15 @@ class Tree:
     @classmethod
     def grown(cls, by_depth: list[tuple[np.ndarray, np.ndarray]]) -> "Tree":
         """by_depth: sorted grams of d + 1 bytes and their counts, for d = 0, 1, ..."""
+        return cls(cls.levels_of(by_depth)[0])
+
+    @classmethod
+    def levels_of(cls, by_depth: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: tuple | None = None) -> tuple[list, tuple | None]:
+        """Levels ``first``, first + 1, ... and the nodes of level ``first`` (key, log of the
+        mixture, zeros, ones); below: those of the level after the last."""
         levels: list = []
-        below = None
-        for d in range(len(by_depth) - 1, -1, -1):
-            key, zero, one = cls.nodes(*by_depth[d], d)
+        for d in range(first + len(by_depth) - 1, first - 1, -1):
+            key, zero, one = cls.nodes(*by_depth[d - first], d)
             pe = _kt(zero, one)
             kids, rest0, rest1, has = np.zeros(len(key)), zero.copy(), one.copy(), np.zeros(len(key), bool)
             if below is not None and len(below[0]):
@@ -201,7 +213,7 @@ class Tree:
             pw = np.where(has, np.logaddexp(pe, kids) - math.log(2), pe)
             levels.append((key, (one + 0.5) / (zero + one + 1), weight, (rest1 + 0.5) / (rest0 + rest1 + 1)))
             below = (key, pw, zero, one)
-        return cls(levels[::-1])
+        return levels[::-1], below
 
     @staticmethod
     def _find(key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,11 +267,148 @@ class Tree:
         return np.log10(np.where(bits == 1, final, 1 - final)).sum(axis=1)
 
 
-def train(texts: DataFrame, depth: int = 5, contexts: int = 1 << 16) -> tuple[Tree, int]:
-    """The tree of all texts, and how many symbols they have."""
+def _shortened(gram: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the last ``size`` bytes, sorted, and their counts."""
+    short, of = np.unique(gram & np.uint64((1 << (8 * size)) - 1), return_inverse=True)
+    out = np.zeros(len(short), np.int64)
+    np.add.at(out, of, n)
+    return short, out
+
+
+def _by_subtree(grams: DataFrame, cut: int) -> DataFrame:
+    part = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * cut)) - 1))
+    return grams.withColumn("part", part).repartition("part").sortWithinPartitions("part")
+
+
+def _subtrees(batches):
+    """Columns of rows sorted by the last column, some whole subtrees at a time."""
+    held, size = [], 0
+    for b in chain(batches, [None]):
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns] if b is not None else None
+        if cols is not None:
+            held.append(cols)
+            size += len(cols[0])
+        if not held or (b is not None and size < GROWN):
+            continue
+        cols = [np.concatenate(x) for x in zip(*held)]
+        n = size if b is None else int(np.searchsorted(cols[-1], cols[-1][-1]))
+        held, size = ([[c[n:] for c in cols]], size - n) if b is not None else ([], 0)
+        if n:
+            yield [c[:n] for c in cols]
+
+
+@dataclass
+class Grown:
+    """grams: ``gram long, n long`` of the training texts; top: the levels above the subtrees."""
+
+    grams: DataFrame
+    depth: int
+    cut: int
+    top: list
+    total: int
+
+
+def grown(texts: DataFrame, depth: int = 5) -> Grown:
+    """The tree of all contexts of all texts, as a table."""
+    counts = stored(gram_counts(texts, depth), "grams")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cut = min(CUT, depth)
+
+    def roots(batches):
+        up = np.uint64((1 << (8 * (cut - 1) + 9)) - 1)
+        for gram, n, _ in _subtrees(batches):
+            gram = gram.astype(np.uint64)
+            _, (key, pw, _, _) = Tree.levels_of([_shortened(gram, n, d + 1) for d in range(cut, depth + 1)], cut)
+            parent, of = np.unique(key & up, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(parent.astype(np.int64)), pa.array(np.bincount(of, pw))], names=["parent", "pw"])
+
+    by_depth = []
+    for d in range(cut):
+        got = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 256^d contexts
+        k, n = got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
+        order = np.argsort(k)
+        by_depth.append((k[order], n[order]))
+    if not cut:
+        return Grown(counts, depth, cut, [], total)
+    below = _by_subtree(counts, cut).mapInArrow(lean(roots), "parent long, pw double").groupBy("parent").agg(F.sum("pw").alias("pw")).toArrow()
+    key, pw = below["parent"].to_numpy().astype(np.uint64), below["pw"].to_numpy()
+    order = np.argsort(key)
+    # of the children only their parents and mixtures count: the rest of each parent is empty
+    key, zero, one = key[order], *_zeros_ones(key[order], by_depth[-1], cut - 1)
+    return Grown(counts, depth, cut, Tree.levels_of(by_depth, 0, (key, pw[order], zero, one))[0], total)
+
+
+def _zeros_ones(key: np.ndarray, level: tuple[np.ndarray, np.ndarray], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of the nodes of one depth, all of which are given."""
+    nodes, zero, one = Tree.nodes(*level, d)
+    at = np.searchsorted(nodes, key)
+    return zero[at], one[at]
+
+
+def gram_scores(tree: Grown, grams: DataFrame) -> DataFrame:
+    """grams: ``gram long, n long``, distinct. ``gram, n, score``: the log10 probability of each
+    gram's last byte after the bytes before it."""
+    ship(grams.sparkSession)
+    depth, cut = tree.depth, tree.cut
+    shared = grams.sparkSession.sparkContext.broadcast(tree.top)
+
+    def run(batches):
+        top = shared.value
+        for gram, learnt, n, _ in _subtrees(batches):
+            gram = gram.astype(np.uint64)
+            old, want = learnt > 0, n > 0
+            levels, _ = Tree.levels_of([_shortened(gram[old], learnt[old], d + 1) for d in range(cut, depth + 1)], cut)
+            local, want = Tree([*top, *levels]), np.flatnonzero(want)
+            for i in range(0, len(want), SLICE):
+                some = want[i : i + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[some].astype(np.int64)), pa.array(n[some]), pa.array(local.log10(gram[some]))], names=["gram", "n", "score"])
+
+    zero = F.lit(0).cast("long")
+    both = tree.grams.select("gram", F.col("n").alias("learnt"), zero.alias("n")).unionAll(grams.select("gram", zero, "n"))
+    return _by_subtree(both, cut).mapInArrow(lean(run), "gram long, n long, score double")
+
+
+class Table:
+    """Values of some grams by hash, for grams by the million. Grams given first are placed
+    first; those whose ``TRIES`` places are taken are left out."""
+
+    TRIES = 4
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(len(gram)).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, (1 << 64) - 1, np.uint64), np.zeros(1 << self.bits)
+        left = np.arange(len(gram))
+        for i in range(self.TRIES):
+            at = self._place(gram[left], i)
+            free = np.flatnonzero(self.keys[at] == (1 << 64) - 1)
+            place, first = np.unique(at[free], return_index=True)
+            took = free[first]
+            self.keys[place], self.values[place] = gram[left[took]], value[left[took]]
+            left = np.delete(left, took)
+
+    def _place(self, gram: np.ndarray, i: int) -> np.ndarray:
+        at = ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (at + i) & ((1 << self.bits) - 1)
+
+    def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for grams not held) and the indexes of grams not held."""
+        at = self._place(gram, 0)
+        out = np.where(self.keys[at] == gram, self.values[at], 0.0)
+        left = np.flatnonzero(self.keys[at] != gram)
+        for i in range(1, self.TRIES):
+            at = self._place(gram[left], i)
+            hit = self.keys[at] == gram[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit]
+        return out, left
+
+
+def train(texts: DataFrame, depth: int = 5, contexts: int | None = None) -> tuple[Tree, int]:
+    """The tree of all texts, gathered whole, and how many symbols they have. contexts: the tree
+    ends above contexts that hold less than 1 / contexts of the symbols."""
     counts = stored(gram_counts(texts, depth), "grams")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    floor = max(1, -(-total // contexts))
+    floor = max(1, -(-total // contexts)) if contexts else 1
     by_depth = []
     for d in range(depth + 1):
         mask = (1 << (8 * (d + 1))) - 1
@@ -268,7 +417,7 @@ def train(texts: DataFrame, depth: int = 5, contexts: int = 1 << 16) -> tuple[Tr
             context = F.shiftright("gram", 8)
             large = g.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= floor).select("context")
             g = g.withColumn("context", context).join(large, "context", "left_semi").select("gram", "n")
-        got = g.toArrow()  # at most contexts x 257 rows
+        got = g.toArrow()
         k, n = got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
         order = np.argsort(k)
         by_depth.append((k[order], n[order]))

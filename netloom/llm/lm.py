@@ -6,7 +6,8 @@ training tokens, V the distinct ones.
 
 Counts are of all training texts: words are counted in tasks first, then summed by word. The
 words that make up at least 1 / ``frequent`` of all tokens each, so at most that many, are
-broadcast; all others are joined with the count table by word.
+broadcast; all others are joined with the count table by word. Byte contexts are handled
+alike: the scores of the ``grams`` commonest grams are broadcast, all others are joined.
 
 Defined results: a null text is scored as an empty one: the end token alone. Repeated rows
 and null ids each give a row. Texts of any length are scored whole. With no training rows
@@ -25,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import ship, stored
-from .ctw import Tree, _pieces, grams
+from .ctw import Grown, Table, Tree, _pieces, gram_counts, gram_scores, grams
 
-_BATCH = "doc_id {}, row long, n_tokens long, seen long, logs double, score double, rare array<binary>"
+_BATCH = "doc_id {}, row long, n_tokens long, seen long, logs double, score double, rare array<binary>, far array<long>"
 
 
 @dataclass
@@ -75,11 +76,34 @@ def word_base(train: DataFrame, frequent: int = 1 << 18, text_col: str = "text")
     return Base(counts, table, ends, total, distinct + (ends > 0))
 
 
-def score(docs: DataFrame, tree: Tree, base: Base, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _common(scored: DataFrame, most: int) -> Table:
+    """The scores of the commonest grams, at most ``most``."""
+    level = F.floor(F.log2("n") * 8)
+    rows = sorted(scored.groupBy(level.alias("level")).count().collect(), reverse=True)  # at most 8 x 64 rows
+    least, held = 0, 0
+    for r in rows:
+        held += r["count"]
+        if held > most:
+            least = r["level"] + 1
+            break
+    got = scored.where(level >= least).toArrow()
+    n, gram, value = got["n"].to_numpy(), got["gram"].to_numpy().astype(np.uint64), got["score"].to_numpy()
+    order = np.lexsort([gram, -n])
+    return Table(gram[order], value[order])
+
+
+def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id", text_col: str = "text", common: int = 1 << 20) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score``: log10 probabilities."""
     spark = docs.sparkSession
     ship(spark)
-    depth = len(tree.levels) - 1
+    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = None
+    if isinstance(tree, Grown):
+        depth = tree.depth
+        scored = stored(gram_scores(tree, gram_counts(df, depth)), "gram-scores")
+        tree = _common(scored, common)
+    else:
+        depth = len(tree.levels) - 1
     logs = {w: math.log10(n + 0.5) for w, n in base.frequent.items()}
     shared = spark.sparkContext.broadcast((tree, logs, math.log10(base.ends + 0.5), int(base.ends > 0)))
 
@@ -96,21 +120,34 @@ def score(docs: DataFrame, tree: Tree, base: Base, id_col: str = "doc_id", text_
                 known = [x for x in found if x is not None]
                 tokens[i], seen[i], sums[i] = len(words) + 1, len(known) + end_seen, math.fsum(known) + end_log
                 rare.append([w for w, x in zip(words, found) if x is None] if len(known) < len(words) else [])
+            far: list[list] = [[] for _ in texts]
             for group in _pieces(texts, depth):
                 g, size = grams([p for _, *p in group], depth)
-                np.add.at(total, [i for i, *_ in group], np.add.reduceat(tree.scores(g), np.cumsum(size) - size))
+                of = np.array([i for i, *_ in group])
+                values, left = tree.find(g) if isinstance(tree, Table) else (tree.scores(g), np.zeros(0, np.int64))
+                np.add.at(total, of, np.add.reduceat(values, np.cumsum(size) - size))
+                if len(left):
+                    owner = np.repeat(of, size)[left]
+                    for i in np.unique(owner).tolist():
+                        lo, hi = np.searchsorted(owner, [i, i + 1])
+                        far[i].append(g[left[lo:hi]].astype(np.int64))
+            far = [np.concatenate(x) if x else [] for x in far]
             rows = np.arange(row, row + n)
             row += n
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *map(pa.array, (rows, tokens, seen, sums, total)), pa.array(rare, pa.list_(pa.binary()))], names=["doc_id", "row", "n_tokens", "seen", "logs", "score", "rare"]
+                [b.column(0), *map(pa.array, (rows, tokens, seen, sums, total)), pa.array(rare, pa.list_(pa.binary())), pa.array(far, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_tokens", "seen", "logs", "score", "rare", "far"],
             )
 
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = stored(df.mapInArrow(run, _BATCH.format(dict(df.dtypes)["doc_id"])), "scored")
     rare = found.select("row", F.explode("rare").alias("word")).join(base.counts, "word", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs2"))
     norm = math.log10(base.total + 0.5 * (base.vocabulary + 1))
-    out = found.drop("rare").join(rare, "row", "left")
+    out = found.drop("rare", "far").join(rare, "row", "left")
+    if scored is not None:
+        far = found.select("row", F.explode("far").alias("gram")).join(scored.select("gram", F.col("score").alias("more_score")), "gram")
+        out = out.join(far.groupBy("row").agg(F.sum("more_score").alias("more_score")), "row", "left")
+        out = out.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     n_known = F.col("seen") + F.coalesce("more", F.lit(0))
     base_score = F.col("logs") + F.coalesce("logs2", F.lit(0.0)) - F.col("n_tokens") * norm
     return out.select("doc_id", "n_tokens", n_known.alias("n_known"), base_score.alias("base_score"), "score")

@@ -32,7 +32,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     train = docs.where(fold != 1)
-    tree, _ = ctw.train(train)
+    tree = ctw.grown(train)
     base = lm.word_base(train)
     scored = lm.score(docs, tree, base)
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
