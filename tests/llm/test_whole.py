@@ -39,3 +39,45 @@ def test_grown_tree(spark, depth):
     got = ctw.gram_scores(model, ctw.gram_counts(other, depth)).toPandas()
     assert model.total == total and len(got) == len(set(got["gram"])) == ctw.gram_counts(other, depth).count()
     assert np.allclose(got["score"], tree.log10(got["gram"].to_numpy().astype(np.uint64)), rtol=1e-9)
+
+
+def brute_components(texts, least=0.8):
+    """Of each text: the smallest index that similar texts join it with."""
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    s, root = [sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(s)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            if s[i] == s[j] or 5 * both >= 4 * (len(s[i]) + len(s[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_dedup_by_five_word_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(400)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([4, 40, 200]))]
+        texts.append(" ".join(base))
+        for _ in range(6):  # about 0.7 to 0.95 similar
+            near = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 25))):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            texts.append(" ".join(near))
+    texts += [None, "", "One two", "one  TWO", "a b c d e"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    twice = [(None, "null id alone " + "x y z " * 9, "en", "s", 1)] * 2 + [(None, texts[0], "en", "s", 1), (5, "another text of id five", "fr", "s", 1)]
+    docs = spark.createDataFrame(rows + twice, SCHEMA).repartition(4)
+    want = {i for i, r in enumerate(brute_components(texts)) if i == r}
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    extra = {(None, twice[0][1]), (5, twice[3][1])}
+    assert sorted(i for i, t in got if (i, t) not in extra) == sorted(want)
+    assert extra <= set(got) and len(got) == len(want) + 2
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
