@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import ship, stored
+from ..runtime import row_key, ship, stored
 from .workers import held, lean
 
 #: byte to byte: A-Z lowered, letters, digits and non-ASCII bytes kept, all else a space
@@ -145,5 +145,6 @@ def digest(found: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without those that hold a window of a test item. All columns are kept."""
     ship(docs.sparkSession)
-    found = contamination(docs, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("of")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+    docs = docs.withColumn("_row", row_key(docs))  # ids may be null or shared
+    found = contamination(docs, benchmark, window, id_col="_row").where(F.size("spans") > 0).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(found, "_row", "left_anti").drop("_row")

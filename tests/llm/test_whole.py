@@ -81,3 +81,22 @@ def test_near_dedup_by_five_word_jaccard(spark):
     assert sorted(i for i, t in got if (i, t) not in extra) == sorted(want)
     assert extra <= set(got) and len(got) == len(want) + 2
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_documents_without_an_id_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([("i", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [f"clean text number {i} " + " ".join(f"v{i}x{j}" for j in range(80)) for i in range(6)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, "so " + item), (7, clean[2]), (7, clean[3]), (7, item + " seven"), (8, clean[4]), (8, clean[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    want = [(i, t) for i, t in rows if item not in t]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=key) == sorted(want, key=key)
+    # the mix takes every word of a source that is below its target
+    out = corpus_pipeline.mixed(spark, got, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0 for r in out)) == [0, 0, 7, 7, 8, 8]
+    for r in out:
+        assert any(r["doc_id"] == i and set(r["text"].split()) <= set(t.split()) for i, t in want)
