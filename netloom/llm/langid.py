@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import ship
 from .workers import held, lean
@@ -199,3 +199,32 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     for i, c in enumerate(keep):
         out = out.withColumnRenamed(f"_k{i}", c)
     return out
+
+
+def excess(model: dict) -> Column:
+    """Bits a letter of the language found, beyond two phrases: a short text says little."""
+    bits = F.element_at(F.create_map(*[F.lit(x) for kv in zip(model["names"], model["bits"]) for x in kv]), F.col("lang_pred"))
+    return F.greatest(F.lit(0.0), F.col("phrase_bits") - 2 * bits / F.greatest("letters", F.lit(1)))
+
+
+def limits(labelled: DataFrame, model: dict, rows: int = 400, lang_col: str = "lang", text_col: str = "text") -> dict[str, float]:
+    """Per language the most bits a letter, as by ``excess``, of a text in it: twice the median
+    of labelled rows that the model has not seen, but at most half way from that to a phrase a
+    letter. Languages with under 5 such rows get the median of all; without any, no limit."""
+    labelled = labelled.where(F.col(lang_col).isin(model["names"]) & F.col(text_col).isNotNull())
+    n_of = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    if not n_of:
+        return {n: float("inf") for n in model["names"]}
+    take = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, rows / n))])
+    order = F.pmod(F.xxhash64(F.lit("limits"), text_col), F.lit(1 << 40))
+    some = labelled.where(order < F.element_at(take, F.col(lang_col)) * float(1 << 40)).select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    got: dict[str, list] = {}
+    for r in identify(some, model, keep=["lang"]).where("letters >= 50 and lang = lang_pred").select("lang", excess(model).alias("x")).collect():  # about ``rows`` a language
+        got.setdefault(r["lang"], []).append(r["x"])
+    every = [x for v in got.values() for x in v]
+    out = {}
+    for n, bits in zip(model["names"], model["bits"]):
+        mine = got.get(n, [])
+        mine = mine if len(mine) >= 5 else every
+        out[n] = min(2 * float(np.median(mine)), (float(np.median(mine)) + bits) / 2) if mine else float("inf")
+    return out

@@ -100,3 +100,19 @@ def test_documents_without_an_id_of_their_own(spark, tmp_path):
     assert sorted((r["doc_id"] or 0 for r in out)) == [0, 0, 7, 7, 8, 8]
     for r in out:
         assert any(r["doc_id"] == i and set(r["text"].split()) <= set(t.split()) for i, t in want)
+
+
+def _made(rng, syllables, words):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 3))) for _ in range(words))
+
+
+def test_unlearned_languages_go(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    learned = {"aa": ["ka", "li", "mo", "ta", "ne"], "bb": ["st", "er", "un", "gei", "ach"]}
+    rows = [(i, _made(rng, learned[k], rng.choice([1, 40, 120])), k) for i, k in enumerate(["aa", "bb"] * 120)]
+    other = [(1000, _made(rng, ["zij", "voo", "wub", "hif", "quy"], 80), None), (1001, "".join(rng.choice("0123456789abcdef") for _ in range(600)), None), (1002, None, "aa"), (1003, "12 !", "aa")]
+    docs = spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows + other], SCHEMA).repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {r[0] for r in rows}
