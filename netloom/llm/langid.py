@@ -9,9 +9,12 @@ Texts are folded: letters are lower-cased, all other runs become one space. They
 whole, in stretches of ``STRETCH`` characters (a phrase does not run over the edge of a
 stretch), many stretches at a time.
 
-The samples: at most ``sample_rows`` labelled training rows per language, drawn by a hash of
-id and text, of whose text at most ``sample_chars`` characters are used. That bounds what the
-driver gathers and what is broadcast.
+Letters keep apart: the ``LETTERS`` commonest of the samples (and a to z) have codes, all others
+are spelled as UTF-8 bytes; a byte that no sample has begins a phrase in each language.
+
+The samples: spans of at most ``sample_rows`` labelled training rows per language, drawn by a
+hash of id and text, of equal length but for shorter texts and ``sample_chars`` characters in
+all. That bounds what the driver gathers and what is broadcast.
 
 Defined results: ``und`` and score 0 if a text is null or has no letter, or if no label was
 learned. Null labels teach nothing. Repeated rows and null ids each give a row. Empty tables
@@ -31,6 +34,8 @@ from ..runtime import ship
 from .workers import held, lean
 
 STRETCH = 256
+#: letters with a code of their own; others are spelled as UTF-8 bytes
+LETTERS = 120
 SPACE, OTHER, PAD = 1, 0, 255
 
 
@@ -46,6 +51,31 @@ def fold_table(alphabet: str) -> np.ndarray:
     return out
 
 
+def _wide(letters: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of letters beyond the alphabet, one per UTF-8 byte from ``first`` on, and how many each has."""
+    kinds, of = np.unique(letters, return_inverse=True)
+    low = [np.frombuffer(chr(c).lower()[0].encode("utf-8", "surrogatepass"), np.uint8) for c in kinds.tolist()]
+    size = np.array([len(x) for x in low], np.int64)[of]
+    out = np.concatenate([low[i] for i in of.tolist()]).astype(np.int64)
+    return np.where(out >= 128, out - 128 + first, OTHER).astype(np.uint8), size
+
+
+def spelled(text: str, table: np.ndarray, first: int) -> tuple[np.ndarray, int]:
+    """As ``folded``, letters beyond the alphabet written as bytes; and the number of letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = folded(text, table)
+    letters = int((codes != SPACE).sum())
+    if not (codes == OTHER).any():
+        return codes, letters
+    wide, size = _wide(points[table[points] == OTHER], first)
+    times = np.ones(len(codes), np.int64)
+    times[codes == OTHER] = size
+    at = np.repeat(codes == OTHER, times)
+    codes = np.repeat(codes, times)
+    codes[at] = wide
+    return codes, letters
+
+
 def folded(text: str, table: np.ndarray) -> np.ndarray:
     """Codes of a text; runs of non-letters become one."""
     codes = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -103,6 +133,21 @@ def phrases(stretches: np.ndarray, move: np.ndarray) -> np.ndarray:
     return count + 1
 
 
+def _spans(rows: list[tuple[int, str]], chars: int) -> list[str]:
+    """A span of each text, all of one length but for shorter texts, of ``chars`` characters in all."""
+    left, span = chars, 0
+    for i, n in enumerate(sorted(len(t) for _, t in rows)):
+        span = left // (len(rows) - i)
+        if n >= span:
+            break
+        left -= n
+    out = []
+    for order, t in rows:
+        at = (order >> 20) % (len(t) - span + 1) if len(t) > span else 0
+        out.append(t[at : at + max(1, span)])
+    return out
+
+
 def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Names, alphabet and one automaton per language, from rows with a label."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -113,22 +158,25 @@ def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_00
     chars = max(2_000, min(sample_chars, 8 * sample_chars // len(names)))
     take = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, 2.0 * sample_rows / n))])
     order = F.xxhash64(F.lit("sample"), id_col, text_col)
-    draw = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, chars).alias("text"), order.alias("order"))
+    begin = F.expr(f"pmod(`order`, greatest(length(text) - {chars}, 0) + 1) + 1").cast("int")
+    draw = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("order"))
     draw = draw.where(F.pmod("order", F.lit(1 << 40)) < F.element_at(take, F.col("lang")) * float(1 << 40))
+    draw = draw.select("lang", F.substring("text", begin, F.lit(chars)).alias("text"), "order")
     got: dict[str, list] = {n: [] for n in names}
     for r in draw.toLocalIterator():
         got[r["lang"]].append((r["order"], r["text"]))
-    texts = {n: "\n".join(t for _, t in sorted(v)[:sample_rows])[:chars] for n, v in got.items()}
-    seen: dict[str, int] = {}
+    texts = {n: "\n".join(_spans(sorted(v)[:sample_rows], chars)) for n, v in got.items()}
+    seen: dict[str, int] = dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0)
     for t in texts.values():
         for c in t.lower():
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:200]))
+    alphabet = "".join(sorted(sorted(seen, key=lambda c: (-(c < "\x80"), -seen[c], c))[:LETTERS]))
     table = fold_table(alphabet)
-    codes = [folded(texts[n], table) for n in names]
+    codes = [spelled(texts[n], table, len(alphabet) + 2)[0] for n in names]
     shortest = max(1, min(len(c) for c in codes if len(c)) if any(len(c) for c in codes) else 1)
-    moves = [suffix_automaton(c, len(alphabet) + 2) for c in codes]
+    letters = max(len(alphabet) + 2, *(int(c.max()) + 1 for c in codes if len(c)), 0) if any(len(c) for c in codes) else len(alphabet) + 2
+    moves = [suffix_automaton(c, letters) for c in codes]
     bits = [float(np.log2(max(2, len(c)))) for c in codes]
     return {"names": names, "alphabet": alphabet, "moves": moves, "bits": bits, "shortest": shortest}
 
@@ -138,6 +186,7 @@ def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int =
     cost = np.zeros((len(texts), len(model["names"])))
     letters = np.zeros(len(texts), np.int64)
     group, owner, width = [], [], 0
+    width_of = model["moves"][0].shape[1] if model["moves"] else PAD
 
     def flush():
         nonlocal group, owner, width
@@ -152,8 +201,8 @@ def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int =
         group, owner, width = [], [], 0
 
     for i, t in enumerate(texts):
-        codes = folded(t, table) if t else np.zeros(0, np.uint8)
-        letters[i] = int((codes != SPACE).sum())
+        codes, letters[i] = spelled(t, table, len(model["alphabet"]) + 2) if t else (np.zeros(0, np.uint8), 0)
+        codes = np.where((codes >= width_of) & (codes != PAD), OTHER, codes).astype(np.uint8)  # bytes of no sample
         if letters[i]:
             for at in range(0, len(codes), STRETCH):
                 group.append(codes[at : at + STRETCH])
@@ -170,7 +219,9 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     keep = keep or []
-    shared = spark.sparkContext.broadcast(model)
+    if "shared" not in model:  # one broadcast a model
+        model["shared"] = spark.sparkContext.broadcast(dict(model))
+    shared = model["shared"]
     key = hashlib.sha256("".join([model["alphabet"], *model["names"]]).encode()).hexdigest()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
 

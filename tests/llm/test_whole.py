@@ -116,3 +116,25 @@ def test_unlearned_languages_go(spark):
     docs = spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows + other], SCHEMA).repartition(3)
     got = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert got == {r[0] for r in rows}
+
+
+def test_letters_of_many_scripts_stay_apart(spark):
+    from netloom.llm import langid
+
+    rng = random.Random(13)
+    common = [chr(0x4E00 + i) for i in range(150)]
+    own = {"x": [chr(0x5000 + i) for i in range(120)], "y": [chr(0x6000 + i) for i in range(120)]}
+    make = lambda k: "".join(rng.choice(own[k]) for _ in range(60))
+    rows = [(i, make(k), k) for i, k in enumerate(["x", "y"] * 60)] + [(500 + i, "".join(rng.choice(common) for _ in range(900)), "z") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in rows], SCHEMA)
+    model = langid.train(docs.where("doc_id % 4 <> 2"), sample_chars=4000)
+    got = langid.identify(docs.where("doc_id % 4 = 2"), model, keep=["lang"]).collect()
+    assert all(r["lang"] == r["lang_pred"] and r["letters"] in (60, 900) for r in got)
+    alien = spark.createDataFrame([(1, "ひらがな" * 50)], "doc_id long, text string")
+    far = langid.identify(alien, model).first()
+    assert far["letters"] == 200 and far["phrase_bits"] > 10  # a script of no sample costs its letters one by one
+    # one long row does not fill the sample
+    long = [(0, "kalimota " * 9000, "x")] + [(i, f"w{'abcdefghij'[i % 10]}q" * 20, "x") for i in range(1, 40)]
+    one = langid.train(spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in long], SCHEMA), sample_chars=4000)
+    seen = langid.identify(spark.createDataFrame([(1, "wjq" * 20)], "doc_id long, text string"), one).first()
+    assert seen["phrase_bits"] * seen["letters"] < 2 * one["bits"][0]
