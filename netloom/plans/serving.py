@@ -24,7 +24,7 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "severity_histogram": (["alerts"], "SELECT severity, CAST(count(*) AS BIGINT) AS n FROM alerts WHERE NOT acknowledged GROUP BY severity"),
     "severity_breakdown": (["alerts"], """SELECT CAST(s.severity AS INT) AS severity, CASE s.severity WHEN 1 THEN 'info' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' WHEN 5 THEN 'critical' ELSE '?' END AS label,
         CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(@div(coalesce(n, 0) * 100, greatest(max(coalesce(n, 0)) OVER (), 1)) AS BIGINT) AS pct FROM (@series(1, 5, severity)) s
-        LEFT JOIN (SELECT severity, count(*) AS n FROM alerts WHERE NOT acknowledged AND ts % 2 = 0 AND severity <> 2 GROUP BY severity) a ON s.severity = a.severity"""),
+        LEFT JOIN (SELECT severity, count(*) AS n FROM alerts WHERE NOT acknowledged GROUP BY severity) a ON s.severity = a.severity"""),
     "prefilter_stats": (["alerts"], """SELECT CAST(count(CASE WHEN alert_type = 'PREFILTER_MALICIOUS' THEN 1 END) AS BIGINT) AS malicious, CAST(count(CASE WHEN alert_type = 'PREFILTER_CLASSIFIED' THEN 1 END) AS BIGINT) AS classified,
         CAST(count(CASE WHEN alert_type = 'PREFILTER_UNKNOWN' THEN 1 END) AS BIGINT) AS unknown, CAST(count(*) AS BIGINT) AS total FROM alerts"""),
     "alert_ack": (["alerts"], "SELECT id, CASE WHEN id = 7 THEN true ELSE acknowledged END AS acknowledged FROM alerts"),
@@ -66,7 +66,7 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "ip_history": (["domain_ips"], "SELECT domain, ip, first_seen, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY last_seen DESC, ip) AS r FROM domain_ips) x WHERE r <= 20"),
     "domains_by_ip": (["domain_ips"], "SELECT ip, domain, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY last_seen DESC, domain) AS r FROM domain_ips) x WHERE r <= 20"),
     "domains_needing_probe": (["domains", "probe_runs"], """SELECT d.domain, d.risk_score FROM domains d WHERE d.risk_score >= 20 AND d.domain NOT LIKE '%.%.%.%'
-        AND NOT EXISTS (SELECT 1 FROM probe_runs p WHERE p.domain = d.domain AND p.ts > d.last_seen - 604800 AND p.id % 2 = 0) ORDER BY d.risk_score DESC, d.domain LIMIT 50"""),
+        AND NOT EXISTS (SELECT 1 FROM probe_runs p WHERE p.domain = d.domain AND p.ts > d.last_seen - 604800) ORDER BY d.risk_score DESC, d.domain LIMIT 50"""),
     "last_probe": (["probe_runs"], "SELECT domain, max(CASE WHEN success THEN ts END) AS last_success, max(CASE WHEN NOT success THEN ts END) AS last_failure FROM probe_runs GROUP BY domain"),
     "probe_cache_state": (["domains", "probe_runs"], """SELECT d.domain, CASE WHEN p.ok IS NOT NULL THEN d.last_seen - p.ok >= 604800 ELSE coalesce(p.n, 0) = 0 END AS stale FROM domains d
         LEFT JOIN (SELECT domain, max(CASE WHEN success THEN ts END) AS ok, count(*) AS n FROM probe_runs GROUP BY domain) p ON d.domain = p.domain"""),
