@@ -36,10 +36,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) is one of our own set.
+    Only where the session names none and runs on this machine alone (tests) is one of our own
+    set; a cluster without one is an error, as its machines don't share temporary folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="netloom-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -51,7 +54,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of ``stored`` tables that nothing needs any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, share: int = 512) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, of which ``right`` has a row each and ``left`` may
+    have very many: keys with over one of ``share`` rows of ``left``, so fewer than ``share`` keys,
+    are broadcast, which leaves their rows where they are. Keys that ``right`` lacks are left out."""
+    n = F.count("*").alias("_n")
+    counts = left.groupBy(key).agg(n)
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("_n") * share > total).select(key).collect()] if total > share else []  # fewer than ``share``
+    if not hot:
+        return left.join(right, key)
+    many = left.sparkSession.createDataFrame([(h,) for h in hot if h is not None], left.select(key).schema)
+    few = F.broadcast(right.join(F.broadcast(many), key, "left_semi"))
+    rest = left.join(F.broadcast(many), key, "left_anti").join(right, key)
+    return left.join(few, key).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
