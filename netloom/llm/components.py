@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import stored
+from ..runtime import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -37,8 +37,9 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = stored(small, "links")
+        old, edges = edges, stored(small, "links")
         now = _mark(edges)
+        discard(old)
         if now == mark:
             break
         mark = now
