@@ -2,14 +2,17 @@
 
 Keys are hashes of the texts, so equal texts (a group) are neighbours. A size-weighted sample
 of keys gives quantile boundaries of many more ranges than shards; exact sizes per range then
-follow from one aggregation. Overfull ranges are subdivided: groups that alone exceed a range
-are taken out and become ranges of their own, and what is still overfull is cut by key. The
-ranges are dealt to shards in key order so that the shards' bytes come out near equal.
-
-A group stays in one shard unless it is larger than a shard's equal share; then it is cut
-into pieces by id. Rows are numbered within their range or piece, each bounded by
-``range_rows`` or a fraction of a shard, so no task holds a hot group. Texts are not
-shuffled. What the driver plans with are sums per range.
+follow from one aggregation. Overfull ranges are subdivided: groups that alone exceed a range,
+in bytes or in rows, are taken out and cut into pieces by id, and what is still overfull is cut
+by key. The ranges are dealt to shards in key order so that the shards' bytes come out near
+equal. The pieces of a group go to one shard unless the group is larger than a shard's equal
+share; then they are ranges like others.
+
+Rows are numbered within their range or piece, from where the shard's ranges before it end. A
+range or piece has about as many rows as one of the ``ranges``, so no task holds a hot group;
+only rows that share their text and their id stay together. Texts are not shuffled. What the
+driver plans with are sums per range: there are ``shards * PER_SHARD`` ranges, one more for each
+million rows, and at most four pieces for each.
 
 Defined results: a null text has size 1 and checksum 0, and nulls form one group; a null id
 is allowed; rows that repeat are numbered separately; an empty table gives no rows; extra
@@ -76,7 +79,7 @@ def shard(docs: DataFrame, shards: int = 8, range_rows: int = 1_000_000, seed: i
     d = stored(d, "keys")
     n, total = d.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * PER_SHARD, -(-n // range_rows))
-    mean = max(1.0, total / ranges)
+    mean, rows = max(1.0, total / ranges), max(1.0, n / ranges)
 
     # size-weighted sample of keys, quantile boundaries
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h", "size"), F.lit(1 << 53)) / float(1 << 53)
@@ -90,29 +93,29 @@ def shard(docs: DataFrame, shards: int = 8, range_rows: int = 1_000_000, seed: i
     cells = F.expr(f"sequence(shiftright(lo, 52), shiftright(coalesce(hi - 1, {high}), 52))")
     bound = stored(bound.withColumn("cell", F.explode(cells)), "bounds")
 
-    # groups beyond a range become their own; beyond a shard's share they are cut by id
-    heavy = d.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(F.col("bytes") > mean)
-    cut = F.greatest(F.ceil(F.col("n") / range_rows), F.when(F.col("bytes") > total / shards, F.ceil(F.col("bytes") / mean)).otherwise(F.lit(1)))
+    # groups beyond a range are cut by id; up to a shard's share they stay in one shard
+    heavy = d.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > mean) | (F.col("n") > 2 * rows))
+    cut = F.greatest(F.ceil(F.col("n") / rows), F.when(F.col("bytes") > total / shards, F.ceil(F.col("bytes") / mean)).otherwise(1))
     heavy = stored(heavy.select("h", cut.cast("long").alias("pieces"), (F.col("bytes") <= total / shards).alias("whole")), "groups")
-    d = d.join(heavy, "h", "left")
-    plain = d.where("pieces is null").withColumn("cell", F.shiftright("h", 52)).join(bound, "cell").where("h >= lo and (hi is null or h < hi)")
+    d = d.join(F.broadcast(heavy), "h", "left")  # fewer than twice ``ranges`` rows
+    plain = d.where("pieces is null").withColumn("cell", F.shiftright("h", 52)).join(F.broadcast(bound), "cell").where("h >= lo and (hi is null or h < hi)")
     plain = stored(plain.select("doc_id", "size", "text_crc32", "h", "rid", "lo", "hi"), "ranged")
 
     # ranges that came out overfull are cut by key
     full = plain.groupBy("rid").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    full = full.where((F.col("bytes") > 2 * mean) | (F.col("n") > range_rows))
-    full = stored(full.select("rid", F.greatest(F.ceil(F.col("bytes") / mean), F.ceil(F.col("n") / range_rows)).alias("parts")), "overfull")
+    full = full.where((F.col("bytes") > 2 * mean) | (F.col("n") > 4 * rows))
+    full = stored(full.select("rid", F.greatest(F.ceil(F.col("bytes") / mean), F.ceil(F.col("n") / rows)).alias("parts")), "overfull")
     share = (F.col("h").cast("double") - F.col("lo")) / (F.coalesce(F.col("hi"), F.lit(high)).cast("double") - F.col("lo").cast("double"))
     part = F.least(F.col("parts") - 1, F.floor(share * F.col("parts")))
-    plain = plain.join(full, "rid", "left").select(
+    plain = plain.join(F.broadcast(full), "rid", "left").select(
         "doc_id", "size", "text_crc32", "h", F.lit(False).alias("whole"), F.lit(None).cast("long").alias("grp"), F.xxhash64(F.lit(0), "rid", F.coalesce(part, F.lit(0)).cast("long")).alias("unit")
     )
     piece = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("pieces"))
     grouped = d.where("pieces is not null").select("doc_id", "size", "text_crc32", "h", "whole", F.col("h").alias("grp"), F.xxhash64(F.lit(1), "h", piece).alias("unit"))
-    rows = stored(plain.unionAll(grouped), "units")
+    placed = stored(plain.unionAll(grouped), "units")
 
-    units = rows.groupBy("unit").agg(F.min("h").alias("lo"), F.first("whole").alias("whole"), F.first("grp").alias("grp"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    units = placed.groupBy("unit").agg(F.min("h").alias("lo"), F.first("whole").alias("whole"), F.first("grp").alias("grp"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
     dealt = spark.createDataFrame(_deal(units.orderBy("lo", "unit").collect(), shards), "unit long, shard int, offset long")
     rank = F.row_number().over(W.partitionBy("unit").orderBy("h", "doc_id", "size", "text_crc32"))
-    out = rows.withColumn("rank", rank).join(dealt, "unit")
+    out = placed.withColumn("rank", rank).join(F.broadcast(dealt), "unit")
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"))
