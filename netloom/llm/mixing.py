@@ -8,10 +8,14 @@ drew it, so that the totals come out even. The n-th draw of a source takes block
 indices per source and pass, so blocks repeat only once all have been taken. Drawn indices
 are joined with blocks by index.
 
-Positions of documents within a source are prefix sums over ``buckets`` hashed parts, so a
-source that holds most rows is never handled by one task; blocks are joined on (source,
-index), which spreads a hot source over all tasks. The table of sources (and shards by
-sources) is metadata and is ordered in one task.
+Positions of documents within a source are prefix sums over hashed parts of about
+``bucket_rows`` rows, so a source that holds most rows is never handled by one task; blocks are
+joined on (source, index), which spreads a hot source over all tasks. Prefix sums over shards
+are taken in stretches. The table of sources is metadata and is ordered in one task.
+
+Settling makes the last shards' draws less than random: while a source is open its shards'
+counts are multinomial, and only what quotas cut off is filled up from sources that lack draws.
+That is about the square root of a source's draws, so a share that vanishes as the mix grows.
 
 Defined results: a null text has size 0, as one without words; such documents are never
 drawn (taken 0). Null is a source of its own, ordered last. A source of size 0 has target 0.
@@ -82,6 +86,20 @@ def _cells(df: DataFrame, lo: str, hi: str, step: int) -> DataFrame:
     return df.where(f"{hi} > {lo}").withColumn("cell", F.explode(F.expr(f"sequence({lo} div {step}, ({hi} - 1) div {step})")))
 
 
+def _running(df: DataFrame, value: str, by: list[str], order: str, step: int = 4096) -> DataFrame:
+    """Adds ``upto``: the sum of ``value`` up to each row, of its group in order of ``order`` (distinct
+    in a group): within stretches of ``step`` first, then over the stretches."""
+    df = df.withColumn("_part", F.expr(f"{order} div {step}"))
+    parts = df.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*by).orderBy("_part")) - F.col("_sum")
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), before.alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for c in by:
+        on &= F.col(c) == F.col(f"_{c}")
+    here = F.sum(value).over(W.partitionBy(*by, "_part").orderBy(order))
+    return df.withColumn("_here", here).join(parts, on).withColumn("upto", F.col("_here") + F.col("_before")).drop("_here", "_before", "_part", "_p", *[f"_{c}" for c in by])
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -89,7 +107,7 @@ def mix(
     repeat: int = 3,
     block_words: int = 64,
     shard_blocks: int = 4096,
-    buckets: int = 1024,
+    bucket_rows: int = 100_000,
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -97,7 +115,8 @@ def mix(
 ) -> Mix:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    d = stored(d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets))), "sizes")
+    d = stored(d, "sizes")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(1024, -(-d.count() // bucket_rows)))))
     sources = _targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat)
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     draws = F.least(F.col("blocks") * repeat, F.coalesce(F.round(F.try_divide(F.col("target") * F.col("blocks"), "source_size")), F.lit(0)).cast("long"))
@@ -114,13 +133,12 @@ def mix(
     within = _cells(sources.select("rank", "draws", "lo", "hi"), "lo", "hi", step)
     drawn = drawn.withColumn("cell", F.expr(f"v div {step}")).join(within, "cell").where("v >= lo and v < hi")
     counts = drawn.groupBy("shard", "rank").agg(F.count("*").alias("n"), F.first("draws").alias("draws"))
-    upto = F.sum("n").over(W.partitionBy("rank").orderBy("shard"))
-    kept = F.least(upto, F.col("draws")) - F.least(upto - F.col("n"), F.col("draws"))
-    counts = stored(counts.select("shard", "rank", "n", kept.alias("kept")), "draws")
+    kept = F.least("upto", "draws") - F.least(F.col("upto") - F.col("n"), F.col("draws"))
+    counts = stored(_running(counts, "n", ["rank"], "shard").select("shard", "rank", "n", kept.alias("kept")), "draws")
 
     # what is open in shards goes to the sources that still lack draws
     open_ = counts.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("open")).where("open > 0")
-    open_ = open_.withColumn("b", F.sum("open").over(W.orderBy("shard"))).withColumn("a", F.col("b") - F.col("open"))
+    open_ = _running(open_.withColumn("all", F.lit(0)), "open", ["all"], "shard").withColumnRenamed("upto", "b").drop("all").withColumn("a", F.col("b") - F.col("open"))
     got = counts.groupBy("rank").agg(F.sum("kept").alias("got"))
     lack = sources.join(got, "rank", "left").select("rank", (F.col("draws") - F.coalesce("got", F.lit(0))).alias("lack")).where("lack > 0")
     lack = lack.withColumn("d", F.sum("lack").over(W.orderBy("rank"))).withColumn("c", F.col("d") - F.col("lack"))
@@ -128,10 +146,11 @@ def mix(
     part = F.least("b", "d", (F.col("cell") + 1) * 256) - F.greatest("a", "c", F.col("cell") * 256)
     settled = both.select("shard", "rank", part.alias("n")).where("n > 0")
     counts = counts.select("shard", "rank", F.col("kept").alias("n")).unionAll(settled).groupBy("shard", "rank").agg(F.sum("n").alias("n"))
-    first = F.sum("n").over(W.partitionBy("rank").orderBy("shard")) - F.col("n")
-    counts = stored(counts.withColumn("first", first).where("n > 0"), "counts")
+    counts = stored(_running(counts, "n", ["rank"], "shard").withColumn("first", F.col("upto") - F.col("n")).drop("upto").where("n > 0"), "counts")
 
-    slots = counts.join(sources.select("rank", "blocks"), "rank").withColumn("k", F.explode(F.expr("sequence(first, first + n - 1)")))
+    slots = counts.join(F.broadcast(sources.select("rank", "blocks")), "rank")
+    # a row for each block of a shard and source grows by thousands: dealt first, by number so that it stays so
+    slots = slots.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (1 << 18))), "shard", "rank").withColumn("k", F.explode(F.expr("sequence(first, first + n - 1)")))
     slots = slots.withColumn("turn", F.expr("k div blocks")).withColumn("block", _permuted(F.expr("k % blocks"), F.col("blocks"), F.col("rank"), F.col("turn"), seed))
     slots = slots.select("shard", "k", "rank", "turn", "block")
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
