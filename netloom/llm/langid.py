@@ -14,7 +14,8 @@ are spelled as UTF-8 bytes; a byte that no sample has begins a phrase in each la
 
 The samples: spans of at most ``sample_rows`` labelled training rows per language, drawn by a
 hash of id and text, of equal length but for shorter texts and ``sample_chars`` characters in
-all. That bounds what the driver gathers and what is broadcast.
+all; with many languages, ``total_chars`` for all of them together, in equal parts (2,000
+characters at least). That bounds what the driver gathers and what is broadcast.
 
 Defined results: ``und`` and score 0 if a text is null or has no letter, or if no label was
 learned. Null labels teach nothing. Repeated rows and null ids each give a row. Empty tables
@@ -84,7 +85,8 @@ def folded(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings; -1 where there is none."""
+    """Transitions [state, code] of the automaton of all substrings; -1 where there is none. One
+    more code, ``letters``, stays in its state."""
     move, link, length, last = [{}], [-1], [0], 0
     for c in codes.tolist():
         cur = len(move)
@@ -109,7 +111,8 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(move), letters), -1, np.int32)
+    out = np.full((len(move), letters + 1), -1, np.int32)
+    out[:, letters] = np.arange(len(move))
     for s, m in enumerate(move):
         out[s, list(m)] = list(m.values())
     return out
@@ -117,8 +120,8 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
 
 def phrases(stretches: np.ndarray, move: np.ndarray) -> np.ndarray:
     """stretches: [position, stretch] of codes, PAD beyond the end. Phrases of each stretch."""
-    letters = move.shape[1]
-    flat = np.concatenate([move, np.arange(len(move), dtype=np.int32)[:, None]], axis=1).ravel()  # PAD: stay
+    letters = move.shape[1] - 1
+    flat = move.ravel()
     stretches = np.where(stretches == PAD, letters, stretches).astype(np.int32)
     root = flat[: letters + 1].copy()
     root[root < 0] = 0
@@ -148,14 +151,14 @@ def _spans(rows: list[tuple[int, str]], chars: int) -> list[str]:
     return out
 
 
-def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_000, total_chars: int = 480_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Names, alphabet and one automaton per language, from rows with a label."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n_of = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row per language
     names = sorted(n_of)
     if not names:
         return {"names": [], "alphabet": "", "moves": [], "bits": []}
-    chars = max(2_000, min(sample_chars, 8 * sample_chars // len(names)))
+    chars = max(2_000, min(sample_chars, total_chars // len(names)))
     take = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, 2.0 * sample_rows / n))])
     order = F.xxhash64(F.lit("sample"), id_col, text_col)
     begin = F.expr(f"pmod(`order`, greatest(length(text) - {chars}, 0) + 1) + 1").cast("int")
@@ -186,7 +189,7 @@ def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int =
     cost = np.zeros((len(texts), len(model["names"])))
     letters = np.zeros(len(texts), np.int64)
     group, owner, width = [], [], 0
-    width_of = model["moves"][0].shape[1] if model["moves"] else PAD
+    width_of = model["moves"][0].shape[1] - 1 if model["moves"] else PAD
 
     def flush():
         nonlocal group, owner, width
