@@ -172,7 +172,7 @@ def levels(sizes, weights):
 
 
 def test_mixing(spark, docs, none):
-    plan = mixing.mix(docs, block_words=8, shard_blocks=64, buckets=4)
+    plan = mixing.mix(docs, block_words=8, shard_blocks=64, bucket_rows=100)
     got = plan.taken.collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     rows = corpus()
@@ -187,7 +187,7 @@ def test_mixing(spark, docs, none):
         assert r["source_size"] == sizes[s] and math.isclose(r["target"], target[s]) and 0 <= r["taken"] <= 3 * r["size"]
     for s in sizes:
         assert abs(taken[s] - target[s]) <= max(0.05 * target[s], 2 * 8), (s, taken[s], target[s])
-    again = mixing.mix(docs.repartition(7), block_words=8, shard_blocks=64, buckets=4).taken
+    again = mixing.mix(docs.repartition(7), block_words=8, shard_blocks=64, bucket_rows=100).taken
     same(again, [tuple(r) for r in got])
     n = plan.slots.groupBy("rank", "turn").agg(F.count("*").alias("n"), F.countDistinct("block").alias("d"))
     assert n.where("n <> d").count() == 0
@@ -385,7 +385,7 @@ def test_url_filter(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in registry.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         want.append((i, host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else "allow"))
     same(urlfilter.match(pages, rules), want)
-    same(urlfilter.match(pages, rules, blocks=1), want)
+    same(urlfilter.match(pages, rules, bits_per_key=1), want)
     assert urlfilter.match(pages.limit(0), rules).count() == 0
     assert urlfilter.match(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == len(want)
 
@@ -455,3 +455,82 @@ def test_licenses(spark, docs, none):
     got = {r["doc_id"]: (r["licenses"], r["verdict"]) for r in licenses.scan(df).collect()}
     assert got == {i: (a, b) for i, _, a, b in rows}
     assert licenses.scan(docs).count() == len(corpus()) and licenses.scan(none).count() == 0
+
+
+def brute_licenses(text):
+    """By the definition: sentences cut twice, rules as subsequences of either cut."""
+    entries = {}
+    for name, s in licenses.SENTENCES:
+        parts = [licenses.normalised(p) for p in re.split(r"[.!?;:]+\s+", s)]
+        entries[name] = parts
+    known = {p for parts in entries.values() for p in parts}
+    text = text or ""
+    cut = re.split(r"[.!?;:]+[ \t\r\n\f\x0b]+|\x01", text)
+    lines = [x for p in cut for x in re.split(r"[\r\n]+", p)]
+    found = set()
+    for parts in (cut, lines):
+        ids = [n for n in map(licenses.normalised, parts) if n in known]
+        for lic, kind, names in licenses.RULES:
+            at = iter(ids)
+            if all(any(x == want for x in at) for n in names for want in entries[n]):
+                found.add((lic, kind))
+    verdict = next((k for k in licenses.KINDS if k in {kind for _, kind in found}), "none")
+    return ",".join(sorted(lic for lic, _ in found)), verdict, sum(bool(licenses.normalised(p)) for p in cut)
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(11)
+    pieces = [s for _, s in licenses.SENTENCES]
+    texts = [None, "", ". . .", "x" * 200_000 + ". Released under the MIT License.\n" + "y " * 100_000]
+    for _ in range(400):
+        some = [rng.choice(pieces) if rng.random() < 0.7 else "some other words" for _ in range(rng.randint(1, 9))]
+        if rng.random() < 0.5:
+            lic = rng.choice(licenses.RULES)[2]
+            some += [dict(licenses.SENTENCES)[n] for n in lic]
+        some = [x.upper() if rng.random() < 0.2 else x.replace(" ", "\n * ", 1) if rng.random() < 0.2 else x for x in some]
+        texts.append(rng.choice([". ", ".\n", "\n", "; "]).join(some))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string").repartition(5)
+    got = {r["doc_id"]: (r["licenses"], r["verdict"], r["n_sentences"]) for r in licenses.scan(df).collect()}
+    assert got == {i: brute_licenses(t) for i, t in enumerate(texts)}
+    assert len({v[0] for v in got.values()}) > 40
+
+
+def test_url_filter_with_many_entries(spark):
+    rng = random.Random(12)
+    made = [("d%d.%s" % (rng.randrange(60_000), rng.choice(["com", "net", "org"])), "/" + "/".join("p%d" % rng.randrange(5) for _ in range(rng.randint(0, 3))), rng.choice(["allow", "block"])) for _ in range(100_000)]
+    made += [("com", "/", "allow"), ("only.example.org", "", "block")]
+    rules = spark.createDataFrame(made, "host string, path string, verdict string")
+    urls = ["http://" + rng.choice(["", "www.", "a.b."]) + "d%d.%s" % (rng.randrange(90_000), rng.choice(["com", "net", "org"])) + "/p%d/p%d/x?q" % (rng.randrange(6), rng.randrange(6)) for _ in range(3000)]
+    urls += ["http://x.only.example.org", "http://hot.d1.com/p1/p2/p3"] + ["http://hot.d1.com/p1/p2/p3"] * 3000 + [None] * 50
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(6)
+    best = {}
+    for h, p, v in made:
+        best[h, p] = max(v, best.get((h, p), v))
+    want = {}
+    for i, u in enumerate(urls):
+        host, _, path = (u or "").partition("://")[2].partition("?")[0].partition("/")
+        path = "/" + path if "/" in (u or "").partition("://")[2] else ""
+        labels = host.split(".") if host else []
+        fits = [(".".join(labels[j:]), path[:n]) for j in range(len(labels)) for n in range(len(path) + 1)]
+        fits = [f for f in fits if f in best]
+        rule = max(fits, key=lambda f: (len(f[0] + f[1]), len(f[0])), default=None)
+        want[i] = (host, path, rule and rule[0] + rule[1], best[rule] if rule else "allow")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.match(pages, rules).collect()}
+    assert got == want
+
+
+def test_sharding_spreads_groups_of_short_texts(spark):
+    rng = random.Random(13)
+    rows = [(i, None if i % 3 == 0 else text(rng, rng.randint(1, 40))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(df, shards=8).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(r["doc_id"] for r in got) == list(range(6000))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["size"] == 1}) == 1  # a small group stays in one shard
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) < 1.1 * sum(load.values()) / 8
