@@ -33,7 +33,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import ship, stored
 from .workers import lean
@@ -86,38 +87,49 @@ def _pieces(texts: list[bytes | None], depth: int, most: int = CHUNK):
 
 def gram_counts(texts: DataFrame, depth: int) -> DataFrame:
     """texts: text string. ``gram long, n long`` over all of them, counted in tasks first."""
+    return _counted(texts.select("text", F.lit(False).alias("learn")), depth).select("gram", "n")
+
+
+def _counted(texts: DataFrame, depth: int) -> DataFrame:
+    """texts: ``text string, learn boolean``. ``gram long, learnt long, n long``: how often each
+    gram occurs in the texts to learn from, and in all."""
     ship(texts.sparkSession)
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def merged():
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
-            n = np.concatenate([c for _, c in held]) if held else np.zeros(0, np.int64)
+            keys, learnt, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
+            keys = keys[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            return keys[first], np.add.reduceat(n, first) if len(first) else n
+            return (keys[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (learnt, n)))
 
-        def out(k, n):
+        def out(k, *n):
             for i in range(0, len(k), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["gram", "n"])
+                some = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), *(pa.array(x[some]) for x in n)], names=["gram", "learnt", "n"])
 
         for b in batches:
-            for group in _pieces(b.column(0).cast(pa.binary()).to_pylist(), depth):
-                k, n = np.unique(grams([p for _, *p in group], depth)[0], return_counts=True)
-                held.append((k, n.astype(np.int64)))
-                size += len(k)
-                if size > 4_000_000:
-                    k, n = merged()
-                    held, size = [(k, n)], len(k)
-                    if size > 2_000_000:
-                        yield from out(k, n)
-                        held, size = [], 0
+            learn = b.column(1).fill_null(False)
+            for wanted in (True, False):
+                some = b.column(0).filter(learn if wanted else pc.invert(learn)).cast(pa.binary()).to_pylist()
+                for group in _pieces(some, depth):
+                    k, n = np.unique(grams([p for _, *p in group], depth)[0], return_counts=True)
+                    n = n.astype(np.int64)
+                    held.append((k, n if wanted else np.zeros(len(n), np.int64), n))
+                    size += len(k)
+                    if size > 3_000_000:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > 1_500_000:
+                            yield from out(*held[0])
+                            held, size = [], 0
         yield from out(*merged())
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = texts.select("text", "learn").mapInArrow(lean(run), "gram long, learnt long, n long")
+    return counts.groupBy("gram").agg(F.sum("learnt").alias("learnt"), F.sum("n").alias("n"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -299,7 +311,8 @@ def _subtrees(batches):
 
 @dataclass
 class Grown:
-    """grams: ``gram long, n long`` of the training texts; top: the levels above the subtrees."""
+    """grams: ``gram long, learnt long, n long``: counts of the training texts, and of all texts
+    that were given; top: the levels above the subtrees; total: symbols of the training texts."""
 
     grams: DataFrame
     depth: int
@@ -308,11 +321,13 @@ class Grown:
     total: int
 
 
-def grown(texts: DataFrame, depth: int = 5) -> Grown:
-    """The tree of all contexts of all texts, as a table."""
-    counts = stored(gram_counts(texts, depth), "grams")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def grown(texts: DataFrame, depth: int = 5, learn: Column | None = None) -> Grown:
+    """The tree of all contexts of the texts, as a table. learn: which rows are training texts, if not all."""
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    counts = stored(_counted(texts.select("text", learn.alias("learn")), depth), "grams")
+    total = counts.agg(F.coalesce(F.sum("learnt"), F.lit(0))).first()[0]
     cut = min(CUT, depth)
+    learnt = counts.where("learnt > 0").select("gram", F.col("learnt").alias("n"))
 
     def roots(batches):
         up = np.uint64((1 << (8 * (cut - 1) + 9)) - 1)
@@ -323,14 +338,13 @@ def grown(texts: DataFrame, depth: int = 5) -> Grown:
             yield pa.RecordBatch.from_arrays([pa.array(parent.astype(np.int64)), pa.array(np.bincount(of, pw))], names=["parent", "pw"])
 
     by_depth = []
-    for d in range(cut):
-        got = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 256^d contexts
+    if cut:
+        got = learnt.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * cut)) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 256^cut rows
         k, n = got["gram"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
-        order = np.argsort(k)
-        by_depth.append((k[order], n[order]))
+        by_depth = [_shortened(k, n, d + 1) for d in range(cut)]
     if not cut:
         return Grown(counts, depth, cut, [], total)
-    below = _by_subtree(counts, cut).mapInArrow(lean(roots), "parent long, pw double").groupBy("parent").agg(F.sum("pw").alias("pw")).toArrow()
+    below = _by_subtree(learnt, cut).mapInArrow(lean(roots), "parent long, pw double").groupBy("parent").agg(F.sum("pw").alias("pw")).toArrow()
     key, pw = below["parent"].to_numpy().astype(np.uint64), below["pw"].to_numpy()
     order = np.argsort(key)
     # of the children only their parents and mixtures count: the rest of each parent is empty
@@ -345,12 +359,12 @@ def _zeros_ones(key: np.ndarray, level: tuple[np.ndarray, np.ndarray], d: int) -
     return zero[at], one[at]
 
 
-def gram_scores(tree: Grown, grams: DataFrame) -> DataFrame:
-    """grams: ``gram long, n long``, distinct. ``gram, n, score``: the log10 probability of each
-    gram's last byte after the bytes before it."""
-    ship(grams.sparkSession)
+def gram_scores(tree: Grown, grams: DataFrame | None = None) -> DataFrame:
+    """grams: ``gram long, n long``, distinct; without them, those of all texts that the tree was
+    given. ``gram, n, score``: the log10 probability of each gram's last byte after those before it."""
+    ship(tree.grams.sparkSession)
     depth, cut = tree.depth, tree.cut
-    shared = grams.sparkSession.sparkContext.broadcast(tree.top)
+    shared = tree.grams.sparkSession.sparkContext.broadcast(tree.top)
 
     def run(batches):
         top = shared.value
@@ -363,8 +377,10 @@ def gram_scores(tree: Grown, grams: DataFrame) -> DataFrame:
                 some = want[i : i + SLICE]
                 yield pa.RecordBatch.from_arrays([pa.array(gram[some].astype(np.int64)), pa.array(n[some]), pa.array(local.log10(gram[some]))], names=["gram", "n", "score"])
 
-    zero = F.lit(0).cast("long")
-    both = tree.grams.select("gram", F.col("n").alias("learnt"), zero.alias("n")).unionAll(grams.select("gram", zero, "n"))
+    both = tree.grams.select("gram", "learnt", "n")
+    if grams is not None:
+        zero = F.lit(0).cast("long")
+        both = both.select("gram", "learnt", zero.alias("n")).unionAll(grams.select("gram", zero, "n"))
     return _by_subtree(both, cut).mapInArrow(lean(run), "gram long, n long, score double")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import ship, stored
 from .ctw import Grown, Table, Tree, _pieces, gram_counts, gram_scores, grams
 
-_BATCH = "doc_id {}, row long, n_tokens long, seen long, logs double, score double, rare array<binary>, far array<long>"
+_BATCH = "doc_id {}, row long, n_tokens long, seen long, logs double, score double, symbols long, rare array<binary>, far array<long>"
 
 
 @dataclass
@@ -92,15 +92,17 @@ def _common(scored: DataFrame, most: int) -> Table:
     return Table(gram[order], value[order])
 
 
-def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id", text_col: str = "text", common: int = 1 << 20) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score``: log10 probabilities."""
+def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id", text_col: str = "text", common: int = 1 << 20, counted: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score, bits_per_byte``: log10 probabilities, and the
+    code length by the byte model, over the bytes of the normalised text and its end. counted: the tree was
+    given all of these texts (``ctw.grown`` with ``learn``), so their grams are counted already."""
     spark = docs.sparkSession
     ship(spark)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = None
     if isinstance(tree, Grown):
         depth = tree.depth
-        scored = stored(gram_scores(tree, gram_counts(df, depth)), "gram-scores")
+        scored = stored(gram_scores(tree, None if counted else gram_counts(df, depth)), "gram-scores")
         tree = _common(scored, common)
     else:
         depth = len(tree.levels) - 1
@@ -121,9 +123,11 @@ def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id
                 tokens[i], seen[i], sums[i] = len(words) + 1, len(known) + end_seen, math.fsum(known) + end_log
                 rare.append([w for w, x in zip(words, found) if x is None] if len(known) < len(words) else [])
             far: list[list] = [[] for _ in texts]
+            symbols = np.zeros(n, np.int64)
             for group in _pieces(texts, depth):
                 g, size = grams([p for _, *p in group], depth)
                 of = np.array([i for i, *_ in group])
+                np.add.at(symbols, of, size)
                 values, left = tree.find(g) if isinstance(tree, Table) else (tree.scores(g), np.zeros(0, np.int64))
                 np.add.at(total, of, np.add.reduceat(values, np.cumsum(size) - size))
                 if len(left):
@@ -135,8 +139,8 @@ def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id
             rows = np.arange(row, row + n)
             row += n
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *map(pa.array, (rows, tokens, seen, sums, total)), pa.array(rare, pa.list_(pa.binary())), pa.array(far, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_tokens", "seen", "logs", "score", "rare", "far"],
+                [b.column(0), *map(pa.array, (rows, tokens, seen, sums, total, symbols)), pa.array(rare, pa.list_(pa.binary())), pa.array(far, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n_tokens", "seen", "logs", "score", "symbols", "rare", "far"],
             )
 
     found = stored(df.mapInArrow(run, _BATCH.format(dict(df.dtypes)["doc_id"])), "scored")
@@ -150,4 +154,5 @@ def score(docs: DataFrame, tree: Tree | Grown, base: Base, id_col: str = "doc_id
         out = out.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     n_known = F.col("seen") + F.coalesce("more", F.lit(0))
     base_score = F.col("logs") + F.coalesce("logs2", F.lit(0.0)) - F.col("n_tokens") * norm
-    return out.select("doc_id", "n_tokens", n_known.alias("n_known"), base_score.alias("base_score"), "score")
+    bits = -F.col("score") * math.log2(10) / F.col("symbols")
+    return out.select("doc_id", "n_tokens", n_known.alias("n_known"), base_score.alias("base_score"), "score", bits.alias("bits_per_byte"))

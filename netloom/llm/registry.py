@@ -30,13 +30,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    train = docs.where(fold != 1)
-    tree = ctw.grown(train)
-    base = lm.word_base(train)
-    scored = lm.score(docs, tree, base)
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    tree = ctw.grown(docs, learn=learn)
+    base = lm.word_base(docs.where(learn))
+    scored = lm.score(docs, tree, base, counted=True)
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(base.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(base.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

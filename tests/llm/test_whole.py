@@ -25,6 +25,9 @@ def test_lm_learns_every_context(spark, tmp_path):
     want = {r["doc_id"]: r["score"] for r in lm.score(docs, tree, lm.word_base(train)).collect()}
     got = {r["doc_id"]: r["score"] for r in registry.op5_lm_score(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    for r in registry.op5_lm_score(spark, str(tmp_path)).collect():
+        text = dict((i, t) for i, t, *_ in rows)[r["doc_id"]]
+        assert math.isclose(r["bits_per_byte"], -r["score"] * math.log2(10) / (len(ctw.normalised((text or "").encode())) + 1), rel_tol=1e-9)
     few = lm.score(docs, ctw.grown(train), lm.word_base(train), common=50)
     assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) for r in few.collect())
 
