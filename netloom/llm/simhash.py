@@ -284,9 +284,11 @@ def near_copies(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int
     facts = stored(facts, "nodes")
     reps = found.select("key", "node", "sketch", "first").join(facts.select(F.col("rep").alias("key"), "node"), ["key", "node"], "left_semi").dropDuplicates(["key"])
     reps = stored(reps.select("node", "sketch", "first"), "sets")
+    keys = stored(found.select("key", "node"), "keys")
+    discard(found)
     members = stored(jaccard.cells(reps), "cells")
     if members.isEmpty():
-        return found.select("key", F.col("node").alias("component"))
+        return keys.select("key", F.col("node").alias("component"))
     facts_of = facts.select("node", "size", "copies").join(reps.select("node", "sketch"), "node")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -305,4 +307,4 @@ def near_copies(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int
         apart = members.join(facts_of, "node").join(roots, "node", "left").withColumn("root", F.coalesce("of", "node"))
         links = links.unionAll(similar(jaccard.candidates(apart, least, every)))
     roots = stored(facts.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("component")), "roots")
-    return join_skewed(found.select("key", "node"), roots, "node").select("key", "component")
+    return join_skewed(keys, roots, "node").select("key", "component")
