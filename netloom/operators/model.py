@@ -9,8 +9,28 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
+def _base(score, classes: int) -> np.ndarray:
+    """A number as text for all classes, or a bracketed list of one each; anything else counts as zeros."""
+    zeros = np.zeros(classes)
+    if not isinstance(score, str):
+        return zeros
+    text, given = score.strip(), []
+    for x in text.strip("[]").split(",") if text.startswith("[") else [text]:
+        try:
+            given.append(float(x))
+        except ValueError:
+            continue
+    if text.startswith("["):
+        return np.array(given) if len(given) == classes else zeros
+    return np.full(classes, given[0]) if given else zeros
+
+
+def _number(x, default: int) -> int:
+    return int(x) if (isinstance(x, int) and x >= 0) or (isinstance(x, str) and x.isdigit()) else default
+
+
 def load(text: str, leaves: str = "base_weights") -> dict:
-    """Arrays per tree, checked for equal lengths; base_score may be a number or a list."""
+    """Arrays per tree, checked for equal lengths; without tree_info all trees are of the one class."""
     learner = json.loads(text)["learner"]
     model, param = learner["gradient_booster"]["model"], learner["learner_model_param"]
     trees = []
@@ -19,9 +39,22 @@ def load(text: str, leaves: str = "base_weights") -> dict:
         if len({len(a) for a in arrays.values()}) != 1:
             raise ValueError("a tree's arrays differ in length")
         trees.append((arrays["left_children"], arrays["right_children"], arrays["split_indices"], arrays["split_conditions"].astype(np.float32), arrays["default_left"].astype(bool), arrays[leaves].astype(np.float32)))
-    base = json.loads(str(param["base_score"])) if isinstance(param["base_score"], str) else param["base_score"]
-    classes = max(1, int(param.get("num_class", 1)))
-    return {"trees": trees, "class_of": list(model["tree_info"]), "classes": classes, "base": np.broadcast_to(np.array(base, float), classes), "features": int(param["num_feature"])}
+    classes = max(1, _number(param.get("num_class"), 1))
+    info = model.get("tree_info")
+    if info is None and classes > 1:
+        raise ValueError("a model of several classes needs tree_info")
+    info = [0] * len(trees) if info is None else [_number(k, 0) for k in info]
+    if len(info) != len(trees):
+        raise ValueError(f"tree_info has {len(info)} entries for {len(trees)} trees")
+    return {"trees": trees, "class_of": info, "classes": classes, "base": _base(param.get("base_score"), classes), "features": _number(param.get("num_feature"), 0)}
+
+
+def check(model: dict, dim: int, labels: int) -> None:
+    """Raises if the model does not take two features a packet (unless it states none), or has other classes than the labels."""
+    if model["features"] and model["features"] != 2 * dim:
+        raise ValueError(f"the model takes {model['features']} features, flows have {2 * dim}")
+    if model["classes"] != labels:
+        raise ValueError(f"the model has {model['classes']} classes, there are {labels} labels")
 
 
 def raw_scores(model: dict, x: np.ndarray) -> np.ndarray:

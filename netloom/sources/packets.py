@@ -34,29 +34,35 @@ def network_layer(frame: bytes) -> tuple[int, bytes]:
 
 
 def _ip(frame: bytes):
-    """Source, destination, protocol, payload; None if it is no whole IP packet."""
+    """Source, destination, protocol and payload as far as it was captured; None if it is no IP packet."""
     kind, b = network_layer(frame)
     if kind == 0x0800 and len(b) >= 20 and b[0] >> 4 == 4:
         head, total = (b[0] & 15) * 4, int.from_bytes(b[2:4], "big")
-        if head >= 20 and head <= total <= len(b):
+        if 20 <= head <= min(total, len(b)):
             return str(ipaddress.ip_address(b[12:16])), str(ipaddress.ip_address(b[16:20])), b[9], b[head:total]
     if kind == 0x86DD and len(b) >= 40 and b[0] >> 4 == 6:
-        total = 40 + int.from_bytes(b[4:6], "big")
-        if total <= len(b):
-            return str(ipaddress.ip_address(b[8:24])), str(ipaddress.ip_address(b[24:40])), b[6], b[40:total]
+        return str(ipaddress.ip_address(b[8:24])), str(ipaddress.ip_address(b[24:40])), b[6], b[40 : 40 + int.from_bytes(b[4:6], "big")]
     return None
 
 
+def address_pair(frame: bytes | None) -> list[str]:
+    """Source and destination of any IP packet whose addresses were captured, whatever it carries."""
+    kind, b = network_layer(frame or b"")
+    cut = (b[12:16], b[16:20]) if kind == 0x0800 and len(b) >= 20 else (b[8:24], b[24:40]) if kind == 0x86DD and len(b) >= 40 else ()
+    return [str(ipaddress.ip_address(x)) for x in cut]
+
+
 def tcp_packet(frame: bytes | None) -> dict | None:
+    """What was captured counts as the packet; a header beyond it leaves no payload."""
     ip = _ip(frame or b"")
     if not ip or ip[2] != 6 or len(ip[3]) < 20:
         return None
     src, dst, _, t = ip
     sport, dport, _, ack, off, flags = struct.unpack(">HHIIBB", t[:14])
     head = (off >> 4) * 4
-    if not 20 <= head <= len(t):
+    if head < 20:
         return None
-    return {"src": src, "dst": dst, "sport": sport, "dport": dport, "ack": ack, "flags": flags, "payload_len": len(t) - head}
+    return {"src": src, "dst": dst, "sport": sport, "dport": dport, "ack": ack, "flags": flags, "payload_len": max(0, len(t) - head)}
 
 
 def _name(msg: bytes, at: int) -> tuple[str | None, int]:
@@ -111,21 +117,44 @@ def dns_answers(msg: bytes) -> list[tuple[str, str, int]]:
 
 
 def dns_of_frame(frame: bytes | None) -> list[tuple[str, str, int]]:
+    """Answers in a UDP datagram from or to port 53."""
     ip = _ip(frame or b"")
-    if not ip or ip[2] != 17 or len(ip[3]) < 8 or int.from_bytes(ip[3][:2], "big") != 53:
+    if not ip or ip[2] != 17 or len(ip[3]) < 8 or 53 not in struct.unpack(">HH", ip[3][:4]):
         return []
     return dns_answers(ip[3][8:])
 
 
+def _frames(batches, rows: int = 4096):
+    for b in batches:
+        for data in b["content"]:
+            part = []
+            for r in records(data):
+                part.append(r)
+                if len(part) == rows:
+                    yield pd.DataFrame(part, columns=["ts", "frame"])
+                    part = []
+            yield pd.DataFrame(part, columns=["ts", "frame"])
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """``ts double, frame binary`` of pcap files."""
+    """``ts double, frame binary`` of pcap files, some thousand records at a time. A file is read as
+    one value, so it must be under 2 GB: long captures are rotated into several files."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_frames, "ts double, frame binary")
+
 
-    def run(batches):
-        for b in batches:
-            rows = [r for data in b["content"] for r in records(data)]
-            yield pd.DataFrame(rows, columns=["ts", "frame"])
+def stream_frames(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """The same as a stream: capture files are taken as they appear in the folder, ``files`` a trigger."""
+    schema = spark.read.format("binaryFile").load(path).schema
+    stream = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files).load(path)
+    return stream.select("content").mapInPandas(_frames, "ts double, frame binary")
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "ts double, frame binary")
+
+def decode_addresses(frame: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(frames: pd.Series) -> pd.Series:
+        return frames.map(address_pair)
+
+    return run(frame)
 
 
 def decode_tcp(frame: Column) -> Column:

@@ -23,23 +23,38 @@ def _emit(times: list[int], last: int | None, cooldown: int) -> tuple[list[int],
     return out, last
 
 
-def throttle_stream(events: DataFrame, cooldown: int) -> DataFrame:
-    """events: key string, t bigint. The rows that no emitted row precedes by less than cooldown."""
+def throttle_stream(events: DataFrame, cooldown: int, late: str = "10 minutes") -> DataFrame:
+    """events: key string, t bigint (seconds). The rows that no emitted row precedes by less than
+    cooldown. What is later than ``late`` behind the newest goes; times before the last that was
+    emitted count as within its cooldown. A key's state is dropped once its cooldown is over for all
+    that may still come."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out, last = _emit([t for p in parts for t in p["t"].tolist()], last, cooldown)
-        state.update((last,))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + cooldown) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]] * len(out), "t": out})
 
-    return events.groupBy("key").applyInPandasWithState(run, "key string, t bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select("key", "t", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, t bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttle_batch(events: DataFrame, cooldown: int) -> DataFrame:
-    """The same over a table, one key at a time."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _emit(rows["t"].tolist(), None, cooldown)
-        return pd.DataFrame({"key": [key[0]] * len(out), "t": out})
-
-    return events.select("key", "t").groupBy("key").applyInPandas(run, "key string, t bigint")
+    """The same over a table. Rows stream through in order of key and time, so a task never holds a key as a whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for f in frames:
+            out = []
+            for k, t in zip(f["key"], f["t"]):
+                if k != key or last is None or t - last >= cooldown:
+                    out.append((k, t))
+                    key, last = k, t
+            yield pd.DataFrame(out, columns=["key", "t"])
+
+    return events.select("key", "t").repartition("key").sortWithinPartitions("key", "t").mapInPandas(run, "key string, t bigint")

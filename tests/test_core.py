@@ -49,7 +49,7 @@ def test_fingerprint_facts(spark):
     text = lambda x: row(spark, x, T.visible_text(h).alias("t"))["t"]
     assert text("<p>Hello&amp; <b>W&nbsp;orld</b> für</p><script>x</script><!-- c -->") == "hello world fr"
     assert text("a<meta charset=x>b") == "a"  # an open block reaches to the end
-    assert row(spark, "<html><body><div><p>x</p><br><img></div></body></html>", T.tag_bigrams(h).alias("b"))["b"] == ["_root>html", "body>div", "div>img", "div>p", "html>body"]
+    assert row(spark, "<html><body><div><p>x</p><br><img></div></body></html>", T.tag_bigrams(h).alias("b"))["b"] == ["_root>html", "body>div", "div>br", "div>img", "div>p", "html>body"]
     assert row(spark, "<div class='A b' data-class=no><p class=c>", T.css_classes(h).alias("c"))["c"] == ["a", "b", "c"]
     assert row(spark, "<title> A <b>b</b></title>", T.tag_text(h, "title").alias("t"))["t"] == "A b"
     same = spark.createDataFrame([(1, "http://a.org/1", "<html><body><h1>x</h1>hello world page</body></html>"), (2, "http://a.org/2", "<html><body><h1>x</h1>hello world page</body></html>")], "page_id long, url string, html string")
