@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.surrogates import CTES, closure
-from . import pages
-from .dialect import render
+from ..sources.surrogates import TABLES, on_files, statement
+from . import monitoring, pages
 from .serving import STATEMENTS
 
-TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-
-
-def statement(ctes: list[str], sql: str, duck: bool) -> str:
-    used = closure(ctes)
-    head = ",\n".join(f"{c} AS ({CTES[c]})" for c in used)
-    return render(f"WITH {head}\n{sql}" if used else sql, duck)
+__all__ = ["ORACLE", "QUERIES", "TABLES"]
 
 
 def _query(ctes: list[str], sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = statement(ctes, sql, duck=False)
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", text):
-                text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", text)
-        return spark.sql(text)
+        return spark.sql(on_files(statement(ctes, sql, duck=False), sf_dir))
 
     return run
 
 
-QUERIES = {n: _query(*s) for n, s in STATEMENTS.items()} | pages.QUERIES
-ORACLE = {n: statement(*s, duck=True) for n, s in STATEMENTS.items()} | pages.ORACLE
+QUERIES = {n: _query(*s) for n, s in STATEMENTS.items()} | monitoring.QUERIES | pages.QUERIES
+ORACLE = {n: statement(*s, duck=True) for n, s in STATEMENTS.items()} | monitoring.ORACLE | pages.ORACLE

@@ -1,18 +1,13 @@
 """Relational statements: sinks as merged states, filters, joins, aggregates, windows, views.
 
 name: (common table expressions it reads, statement). Every order has a total tie-break.
-Parameters are those of the defaults: pages of 200, thresholds 60 and 30, seven-day caches.
+Pages of 200, thresholds 60 and 30, caches of one day.
 """
 
 from __future__ import annotations
 
-NOW = 1_735_689_600
-PRIVATE = "(@part(ip, 1) = '10' OR @part(ip, 1) = '127' OR (@part(ip, 1) = '172' AND CAST(@part(ip, 2) AS INT) BETWEEN 16 AND 31) OR (@part(ip, 1) = '192' AND @part(ip, 2) = '168') OR (@part(ip, 1) = '169' AND @part(ip, 2) = '254') OR CAST(@part(ip, 1) AS INT) >= 224)"
 V4 = "(CAST(@part(ip, 1) AS BIGINT) * 16777216 + CAST(@part(ip, 2) AS BIGINT) * 65536 + CAST(@part(ip, 3) AS BIGINT) * 256 + CAST(@part(ip, 4) AS BIGINT))"
-LABEL = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 CLASSIFIED = """SELECT c.*, l.name, l.kind, CASE WHEN c.pct < 50 THEN 'unknown' ELSE coalesce(l.kind, 'unknown') END AS verdict FROM classified c LEFT JOIN labels_of_class l ON c.class_id = l.class_id"""
-SEVERITY = "CASE verdict WHEN 'malicious' THEN CASE WHEN pct >= 90 THEN 5 WHEN pct >= 75 THEN 4 ELSE 3 END ELSE CASE WHEN pct >= 90 THEN 3 WHEN pct >= 75 THEN 2 ELSE 1 END END"
-DETAIL = "concat('→ ', coalesce(name, concat('class_', class_id)), ' (', pct, '%', CASE WHEN id % 2 = 0 THEN ' ·mid-flow' ELSE '' END, ')', CASE id % 3 WHEN 0 THEN concat(' [EXACTmatch dist=', id % 9, ' ref=x]') WHEN 1 THEN ' [no HTML match]' ELSE '' END)"
 
 STATEMENTS: dict[str, tuple[list[str], str]] = {
     # alerts
@@ -28,26 +23,11 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "prefilter_stats": (["alerts"], """SELECT CAST(count(CASE WHEN alert_type = 'PREFILTER_MALICIOUS' THEN 1 END) AS BIGINT) AS malicious, CAST(count(CASE WHEN alert_type = 'PREFILTER_CLASSIFIED' THEN 1 END) AS BIGINT) AS classified,
         CAST(count(CASE WHEN alert_type = 'PREFILTER_UNKNOWN' THEN 1 END) AS BIGINT) AS unknown, CAST(count(*) AS BIGINT) AS total FROM alerts"""),
     "alert_ack": (["alerts"], "SELECT id, CASE WHEN id = 7 THEN true ELSE acknowledged END AS acknowledged FROM alerts"),
-    "alert_insert": (["alerts"], "SELECT CAST(row_number() OVER (ORDER BY ts, domain, id) AS BIGINT) AS rowid, id, domain, ts FROM alerts WHERE severity = 5"),
-    "alert_views": (["alerts"], """SELECT id, @day(ts) AS at, CASE severity WHEN 1 THEN 'info' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' WHEN 5 THEN 'critical' ELSE '?' END AS severity_label,
-        CASE alert_type WHEN 'PREFILTER_MALICIOUS' THEN 'malicious' WHEN 'PREFILTER_CLASSIFIED' THEN 'classified' ELSE lower(alert_type) END AS type_label,
-        CASE WHEN conf >= 90 THEN 'crit' WHEN conf >= 75 THEN 'high' WHEN conf >= 60 THEN 'med' ELSE 'low' END AS conf_class,
-        CASE WHEN length(domain) > 18 THEN concat(substr(domain, 1, 18), '…') ELSE domain END AS short_domain FROM alerts"""),
-    "alert_detail_build": (["classified", "labels_of_class"], f"SELECT id, rtrim({DETAIL}) AS detail, @even(pct / 2.0) AS half_pct FROM ({CLASSIFIED}) x"),
-    "alert_detail_parse": (["classified", "labels_of_class"], f"""SELECT id, @extract(detail, '^→ (.*?) [(]', 1) AS predicted_class, CAST(@extract(detail, '[(]([0-9]+)%', 1) AS INT) AS confidence_pct, detail LIKE '%mid-flow%' AS dir_guessed,
-        CASE WHEN detail LIKE '%[no HTML match]%' THEN 'none' WHEN detail LIKE '%match dist=%' THEN @extract(detail, '(EXACT|HIGH|MODERATE)match', 1) ELSE '' END AS probe_label,
-        CAST(nullif(@extract(detail, 'dist=([0-9]+)', 1), '') AS INT) AS probe_dist FROM (SELECT id, {DETAIL} AS detail FROM ({CLASSIFIED}) x) y"""),
     # counters and series
     "dashboard_stats": (["alerts", "domain_ips", "probe_runs"], """SELECT (SELECT CAST(count(DISTINCT domain) AS BIGINT) FROM alerts) AS domains, (SELECT CAST(count(*) AS BIGINT) FROM alerts WHERE NOT acknowledged) AS open_alerts,
         (SELECT CAST(count(DISTINCT ip) AS BIGINT) FROM domain_ips) AS ips, (SELECT CAST(count(*) AS BIGINT) FROM probe_runs) AS probes"""),
     "traffic_minutes": (["alerts", "probe_runs"], """SELECT minute, CAST(sum(alerts) AS BIGINT) AS alerts, CAST(sum(probes) AS BIGINT) AS probes, CAST(sum(domains) AS BIGINT) AS domains FROM (
         SELECT ts - ts % 60 AS minute, 1 AS alerts, 0 AS probes, 1 AS domains FROM alerts UNION ALL SELECT ts - ts % 60, 0, 1, 0 FROM probe_runs) x GROUP BY minute"""),
-    "traffic_dense_60": (["alerts", "probe_runs"], """SELECT m.minute, CAST(coalesce(alerts, 0) AS BIGINT) AS alerts, CAST(coalesce(probes, 0) AS BIGINT) AS probes FROM (
-        SELECT top - 60 * back AS minute FROM (SELECT max(ts) - max(ts) % 60 AS top FROM alerts) t CROSS JOIN (@series(0, 59, back)) b) m
-        LEFT JOIN (SELECT ts - ts % 60 AS minute, count(*) AS alerts FROM alerts GROUP BY 1) a ON m.minute = a.minute
-        LEFT JOIN (SELECT ts - ts % 60 AS minute, count(*) AS probes FROM probe_runs GROUP BY 1) p ON m.minute = p.minute"""),
-    "chart_points": (["alerts"], """SELECT CAST(i AS INT) AS i, CAST(10 + @div(i * 580, greatest(max(i) OVER (), 1)) AS BIGINT) AS x, CAST(10 + 120 - @div(v * 120, greatest(max(v) OVER (), 1)) AS BIGINT) AS y FROM (
-        SELECT row_number() OVER (ORDER BY minute) - 1 AS i, v FROM (SELECT ts - ts % 86400 AS minute, count(*) AS v FROM alerts GROUP BY 1) d) e"""),
     "decision_counts": (["domains"], "SELECT decision, CAST(count(*) AS BIGINT) AS n FROM domains WHERE decision IN ('skip', 'watch', 'probe') GROUP BY decision"),
     "decision_totals": (["domains"], "SELECT CAST(count(CASE WHEN decision = 'skip' THEN 1 END) AS BIGINT) AS total_skip, CAST(count(CASE WHEN decision = 'watch' THEN 1 END) AS BIGINT) AS total_watch, CAST(count(CASE WHEN decision = 'probe' THEN 1 END) AS BIGINT) AS total_probe, CAST(count(*) AS BIGINT) AS total_decisions FROM domains"),
     "pipeline_status": (["probe_runs"], "SELECT CAST(count(*) AS BIGINT) AS total_probe, max(ts) AS last_probe_ts, CAST(0 AS BIGINT) AS queue_depth FROM probe_runs"),
@@ -55,7 +35,6 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "risk_trend": (["events_of_risk", "alerts"], """SELECT domain, CAST(0 AS BIGINT) AS step, min(ts) AS ts, CAST(0 AS BIGINT) AS score FROM events_of_risk GROUP BY domain UNION ALL
         SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY ts, id) AS BIGINT), ts, CAST(least(100, sum(delta) OVER (PARTITION BY domain ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) FROM events_of_risk"""),
     "risk_capped": (["risk"], "SELECT id, domain, score FROM risk"),
-    "risk_decisions": (["domains"], "SELECT domain, risk_score, decision, CASE WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'med' ELSE 'low' END AS risk_class FROM domains"),
     # domains
     "domains_view": (["domains", "domain_ips", "alerts"], """SELECT d.domain, d.risk_score, d.decision, d.first_seen, d.last_seen, CAST(coalesce(a.n, 0) AS BIGINT) AS open_alerts, coalesce(i.ips, '') AS ips FROM domains d
         LEFT JOIN (SELECT domain, count(*) AS n FROM alerts WHERE NOT acknowledged GROUP BY domain) a ON d.domain = a.domain
@@ -66,13 +45,10 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "ip_history": (["domain_ips"], "SELECT domain, ip, first_seen, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY last_seen DESC, ip) AS r FROM domain_ips) x WHERE r <= 20"),
     "domains_by_ip": (["domain_ips"], "SELECT ip, domain, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY last_seen DESC, domain) AS r FROM domain_ips) x WHERE r <= 20"),
     "domains_needing_probe": (["domains", "probe_runs"], """SELECT d.domain, d.risk_score FROM domains d WHERE d.risk_score >= 20 AND d.domain NOT LIKE '%.%.%.%'
-        AND NOT EXISTS (SELECT 1 FROM probe_runs p WHERE p.domain = d.domain AND p.ts > d.last_seen - 604800) ORDER BY d.risk_score DESC, d.domain LIMIT 50"""),
+        AND NOT EXISTS (SELECT 1 FROM probe_runs p WHERE p.domain = d.domain AND p.ts > (SELECT max(last_seen) FROM domains) - 86400) ORDER BY d.risk_score DESC, d.domain LIMIT 50"""),
     "last_probe": (["probe_runs"], "SELECT domain, max(CASE WHEN success THEN ts END) AS last_success, max(CASE WHEN NOT success THEN ts END) AS last_failure FROM probe_runs GROUP BY domain"),
-    "probe_cache_state": (["domains", "probe_runs"], """SELECT d.domain, CASE WHEN p.ok IS NOT NULL THEN d.last_seen - p.ok >= 604800 ELSE coalesce(p.n, 0) = 0 END AS stale FROM domains d
+    "probe_cache_state": (["domains", "probe_runs"], """SELECT d.domain, CASE WHEN p.ok IS NOT NULL THEN d.last_seen - p.ok >= 86400 ELSE coalesce(p.n, 0) = 0 END AS stale FROM domains d
         LEFT JOIN (SELECT domain, max(CASE WHEN success THEN ts END) AS ok, count(*) AS n FROM probe_runs GROUP BY domain) p ON d.domain = p.domain"""),
-    "tracked": (["labels_of_class", "domains", "probe_runs"], """SELECT t.typical, t.class_id, CASE WHEN p.n IS NULL THEN 'no baseline' WHEN p.ok IS NULL THEN 'ok' WHEN @div(p.top - p.ok, 86400) >= 7 THEN 'stale' ELSE 'ok' END AS status FROM (
-        SELECT typical, class_id, row_number() OVER (PARTITION BY typical ORDER BY class_id) AS r, concat('site', class_id, '.example.org') AS domain FROM labels_of_class WHERE kind <> 'benign') t
-        LEFT JOIN (SELECT domain, count(*) AS n, max(CASE WHEN success THEN ts END) AS ok, max(ts) AS top FROM probe_runs GROUP BY domain) p ON t.domain = p.domain WHERE t.r = 1"""),
     # merged states of sinks
     "upsert_domains": (["alerts"], """SELECT coalesce(o.domain, n.domain) AS domain, coalesce(o.first_seen, n.first_seen) AS first_seen, greatest(coalesce(o.last_seen, n.last_seen), coalesce(n.last_seen, o.last_seen)) AS last_seen FROM
         (SELECT domain, min(ts) AS first_seen, max(ts) AS last_seen FROM alerts WHERE id % 2 = 0 GROUP BY domain) o FULL OUTER JOIN
@@ -81,84 +57,33 @@ STATEMENTS: dict[str, tuple[list[str], str]] = {
     "cache_latest": (["lookups", "domain_ips"], "SELECT provider, ip, domain FROM (SELECT provider, ip, domain, row_number() OVER (PARTITION BY provider, ip ORDER BY domain DESC) AS r FROM lookups) x WHERE r = 1"),
     "cache_fresh": (["domain_ips"], "SELECT ip, domain, (604800 > 0 AND first_seen + 9000000 - last_seen < 604800) AS fresh FROM domain_ips"),
     "cache_clear": (["lookups", "domain_ips"], "SELECT provider, CAST(count(*) AS BIGINT) AS cleared FROM lookups WHERE provider <> 'ptr' GROUP BY provider"),
-    "migrate_ips": (["domain_ips", "domains"], "SELECT DISTINCT i.domain, i.ip FROM domain_ips i JOIN domains d ON i.domain = d.domain WHERE NOT EXISTS (SELECT 1 FROM domain_ips o WHERE o.domain = i.domain AND o.ip = i.ip AND o.first_seen % 2 = 0)"),
     "save_snapshots": (["snapshots"], "SELECT domain, CAST(min(id) AS BIGINT) AS domain_id, CAST(count(*) AS BIGINT) AS snapshots, max(ts) AS latest FROM snapshots GROUP BY domain"),
     "snapshots_latest": (["snapshots"], "SELECT domain, id, ts FROM (SELECT domain, id, ts, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) AS r FROM snapshots) x WHERE r <= 5"),
     "manifest_prune": (["snapshots"], "SELECT domain, id, ts, CAST(r AS INT) AS r FROM (SELECT domain, id, ts, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) AS r FROM snapshots) x WHERE r <= 3"),
     "manifest_index": (["snapshots"], "SELECT DISTINCT domain FROM snapshots ORDER BY domain"),
     # filters and predicates
-    "private_ip_filter": (["domain_ips"], f"SELECT ip, {PRIVATE} AS is_private FROM (SELECT DISTINCT ip FROM domain_ips) x"),
-    "cidr_antijoin": (["domain_ips"], f"""SELECT ip FROM (SELECT DISTINCT ip FROM domain_ips) x WHERE NOT EXISTS (SELECT 1 FROM (VALUES (134217728, 4294967040), (167774208, 4294966272)) AS s(net, mask)
-        WHERE @and({V4}, CAST(s.mask AS BIGINT)) = s.net)"""),
     "skip_ports": (["packets"], "SELECT flow, seq, least(sport, dport) AS port FROM packets WHERE least(sport, dport) NOT IN (22, 23, 25, 53, 110, 123, 143, 389, 3478, 5353)"),
-    "domain_normalise": (["snapshots"], "SELECT id, lower(@sub(trim(concat(' ', upper(domain), CASE WHEN id % 3 = 0 THEN '..' ELSE '' END, ' ')), '[.]+$', '')) AS domain FROM snapshots"),
-    "domain_validate": (["snapshots"], f"""SELECT id, d, (length(t) <= 253 AND t LIKE '%.%' AND lower(t) <> 'localhost' AND @rlike(t, '^{LABEL}([.]{LABEL})*$')) AS valid FROM (SELECT id, d, @sub(d, '[.]+$', '') AS t FROM (
-        SELECT id, CASE id % 5 WHEN 0 THEN domain WHEN 1 THEN concat('-', domain) WHEN 2 THEN concat(domain, '.') WHEN 3 THEN 'localhost' ELSE concat('a_b.', domain) END AS d FROM snapshots) x) y"""),
-    "infra_domains": (["snapshots"], "SELECT domain, bool_or(domain = s OR @endswith(domain, concat('.', s))) AS infra FROM (SELECT DISTINCT domain FROM snapshots) d CROSS JOIN (VALUES ('example.net'), ('cheap-pills.example.com')) AS t(s) GROUP BY domain"),
-    "probeable": (["lookups", "domain_ips"], "SELECT DISTINCT x AS domain, (x LIKE '%.%' AND NOT @rlike(x, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$')) AS probeable FROM (SELECT ip AS x FROM lookups UNION ALL SELECT domain FROM lookups) u"),
-    "suffix_match": (["snapshots"], """SELECT s.domain, r.root, s.domain = r.root OR @endswith(s.domain, concat('.', r.root)) AS class_match, @endswith(s.domain, r.root) AS queue_match FROM (SELECT DISTINCT domain FROM snapshots) s
-        JOIN (VALUES ('example.org'), ('ple.org'), ('example.net')) AS r(root) ON @endswith(s.domain, r.root)"""),
-    "etld": (["snapshots"], "SELECT DISTINCT domain, @extract(domain, '([^.]*[.][^.]*)$', 1) AS etld, @extract(domain, '^[^.]*[.](.*)$', 1) AS root FROM snapshots"),
     # resolving
-    "passive_dns_interval": (["domain_ips", "alerts"], """SELECT id, ip, domain FROM (SELECT a.id, i.ip, i.domain, row_number() OVER (PARTITION BY a.id ORDER BY i.first_seen, i.domain) AS r FROM (
-        SELECT id, ts - ts % 100000 AS ts, concat('10.0.', id % 20, '.', id % 250) AS ip FROM alerts) a JOIN domain_ips i ON a.ip = i.ip AND a.ts >= i.first_seen AND a.ts < i.first_seen + least(greatest(i.last_seen - i.first_seen + 90000000, 30), 94608000)) x WHERE r = 1"""),
-    "source_sets": (["lookups", "domain_ips"], "SELECT domain, @listagg(provider, ',', provider) AS providers FROM (SELECT DISTINCT domain, provider FROM lookups) x GROUP BY domain"),
-    "lookup_ranked": (["lookups", "domain_ips"], """SELECT ip, domain, CAST(conf AS INT) AS confidence, CAST(row_number() OVER (PARTITION BY ip ORDER BY conf DESC, domain) AS INT) AS rank FROM (SELECT ip, domain,
-        greatest(least(CASE WHEN pd THEN 90 WHEN ptr AND ht THEN 65 WHEN ht THEN 55 WHEN ptr THEN 40 ELSE 25 END + CASE WHEN verified THEN 15 ELSE 0 END, 100) - CASE WHEN stale THEN 25 ELSE 0 END, 0) AS conf FROM (
-        SELECT ip, domain, bool_or(provider = 'passive-dns') AS pd, bool_or(provider = 'ptr') AS ptr, bool_or(provider = 'hackertarget') AS ht, bool_or(provider = 'hackertarget-stale') AS stale, domain LIKE '%7.example.org' AS verified FROM lookups GROUP BY ip, domain) x) y"""),
     "doh_verified": (["lookups", "domain_ips"], "SELECT DISTINCT ip, domain FROM lookups l WHERE provider = 'ptr' AND EXISTS (SELECT 1 FROM domain_ips i WHERE i.ip = l.ip AND i.domain = l.domain AND i.first_seen % 2 = 0)"),
-    "merged_lists": (["lookups", "domain_ips"], """SELECT ip, domain, source FROM (SELECT ip, domain, source, row_number() OVER (PARTITION BY ip, domain ORDER BY p) AS r FROM (
-        SELECT ip, domain, 'live' AS source, 0 AS p FROM lookups WHERE provider = 'ptr' UNION ALL SELECT ip, domain, 'dns-cache', 1 FROM domain_ips) u) x WHERE r = 1"""),
-    "seed_watchlist": (["domain_ips"], "SELECT i.domain, i.ip, s.name FROM domain_ips i LEFT JOIN (VALUES ('8.0.0.1', 'seed-a'), ('10.0.0.2', 'seed-b'), ('8.0.0.3', 'seed-c'), ('10.0.0.4', 'seed-d')) AS s(ip, name) ON i.ip = s.ip"),
     # flows and verdicts
     "flow_first_n": (["packets"], "SELECT flow, seq, len FROM (SELECT flow, seq, len, row_number() OVER (PARTITION BY flow ORDER BY seq) AS r FROM packets WHERE dir = 1) x WHERE r <= 3"),
-    "flow_server_side": (["packets"], """SELECT flow, CASE WHEN first_syn = 1 THEN 'dst' WHEN first_syn = 2 THEN 'src' WHEN dport <= sport THEN 'dst' ELSE 'src' END AS server, first_syn = 0 AS guessed FROM (
-        SELECT flow, sport, dport, CAST(len % 3 AS INT) AS first_syn, row_number() OVER (PARTITION BY flow ORDER BY seq) AS r FROM packets) x WHERE r = 1"""),
-    "flow_sessions": (["packets"], """SELECT flow, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS packets, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT flow, ts, sum(new) OVER (PARTITION BY flow ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (
-        SELECT flow, ts, seq, CASE WHEN ts - lag(ts) OVER (PARTITION BY flow ORDER BY ts, seq) >= 864000 THEN 1 ELSE 0 END AS new FROM packets) x) y GROUP BY flow, session"""),
     "ari_features": (["packets"], """SELECT f.flow, CAST(sum(CASE WHEN k = 1 THEN len ELSE 0 END) AS BIGINT) AS len_0, CAST(sum(CASE WHEN k = 2 THEN len ELSE 0 END) AS BIGINT) AS len_1, CAST(sum(CASE WHEN k = 3 THEN len ELSE 0 END) AS BIGINT) AS len_2,
         CAST(0 AS BIGINT) AS ari_0, CAST(sum(CASE WHEN j = 1 THEN v ELSE 0 END) AS BIGINT) AS ari_1, CAST(sum(CASE WHEN j = 2 THEN v ELSE 0 END) AS BIGINT) AS ari_2 FROM (
         SELECT flow, k, len, CASE WHEN diff > 0 THEN row_number() OVER (PARTITION BY flow, diff > 0 ORDER BY k) END AS j, CASE WHEN diff > 100000 THEN 0 ELSE -diff END AS v FROM (
         SELECT flow, k, len, ack - lag(ack) OVER (PARTITION BY flow ORDER BY k) AS diff FROM (SELECT flow, len, ack, row_number() OVER (PARTITION BY flow ORDER BY seq) AS k FROM packets WHERE dir = 1) p WHERE k <= 3) q) f GROUP BY f.flow"""),
     "class_labels": (["classified", "labels_of_class"], "SELECT id, coalesce(l.name, concat('class_', c.class_id)) AS name FROM classified c LEFT JOIN (SELECT * FROM labels_of_class WHERE class_id < 20) l ON c.class_id = l.class_id"),
     "verdicts": (["classified", "labels_of_class"], f"SELECT id, class_id, pct, verdict FROM ({CLASSIFIED}) x"),
-    "severity_rules": (["classified", "labels_of_class"], f"SELECT id, verdict, pct, CAST({SEVERITY} AS INT) AS severity FROM ({CLASSIFIED}) x WHERE verdict IN ('malicious', 'known')"),
-    "outcome_severity": (["classified", "labels_of_class", "outcome_rules"], f"""SELECT s.id, r.outcome, CAST(CASE r.outcome WHEN 'EXACT' THEN 5 WHEN 'HIGH' THEN least(s.sev + 1, 5) WHEN 'MODERATE' THEN least(s.sev + 1, 4) WHEN 'NO_MATCH' THEN least(s.sev, CASE WHEN s.verdict = 'malicious' THEN 3 ELSE 2 END) ELSE least(s.sev, 3) END AS INT) AS severity,
-        CAST(r.delta AS INT) AS delta, CAST(r.cap AS INT) AS cap FROM (SELECT id, verdict, {SEVERITY} AS sev FROM ({CLASSIFIED}) x WHERE verdict IN ('malicious', 'known')) s
-        JOIN outcome_rules r ON s.verdict = r.kind AND r.outcome = CASE s.id % 6 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MODERATE' WHEN 3 THEN 'NO_MATCH' WHEN 4 THEN 'NO_BASELINE' ELSE 'UNREACHABLE' END"""),
-    "watchlist_promotion": (["classified", "labels_of_class"], f"""SELECT id, CASE WHEN seed AND verdict IN ('benign', 'unknown') THEN 'malicious' ELSE verdict END AS verdict, CASE WHEN seed AND verdict IN ('benign', 'unknown') THEN greatest(pct, 90) ELSE pct END AS pct FROM (SELECT x.*, id % 11 = 0 AS seed FROM ({CLASSIFIED}) x) y
-        WHERE (seed AND verdict IN ('benign', 'unknown')) OR verdict NOT IN ('unknown', 'benign')"""),
-    "cdn_candidates": (["lookups", "domain_ips"], """SELECT ip, domain, CASE WHEN n > 5 THEN 'cdn' ELSE 'direct' END AS mode FROM (SELECT ip, domain, n, row_number() OVER (PARTITION BY ip ORDER BY p, domain) AS r FROM (
-        SELECT ip, domain, min(CASE provider WHEN 'passive-dns' THEN 0 ELSE CASE WHEN domain LIKE '%1.example.org' THEN 1 ELSE 2 END END) AS p, count(*) OVER (PARTITION BY ip) AS n FROM lookups GROUP BY ip, domain) x) y WHERE n <= 5 OR r = 1"""),
     "probe_queue": (["alerts"], """SELECT domain, CAST(row_number() OVER (ORDER BY hi DESC, seq, domain) AS BIGINT) AS place FROM (SELECT domain, max(CASE WHEN severity >= 4 THEN 1 ELSE 0 END) AS hi, min(id) AS seq FROM alerts GROUP BY domain) x"""),
-    "probe_decisions": (["domains", "probe_runs"], """SELECT d.domain, CASE WHEN d.domain NOT LIKE '%.%' THEN 'NO_BASELINE' WHEN p.last IS NULL THEN 'FETCH' WHEN d.last_seen - p.last < 604800 THEN CASE WHEN p.good THEN 'REUSE' ELSE 'UNREACHABLE' END ELSE 'FETCH' END AS action FROM domains d
-        LEFT JOIN (SELECT domain, max(ts) AS last, bool_or(success) AS good FROM probe_runs GROUP BY domain) p ON d.domain = p.domain"""),
-    "reference_compare": (["snapshots"], """SELECT domain, ref, label FROM (SELECT s.domain, r.ref, s.label, row_number() OVER (PARTITION BY s.domain ORDER BY r.pos, s.n) AS k FROM (
-        SELECT domain, id, CASE id % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'HIGH' ELSE NULL END AS label, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) AS n FROM snapshots) s
-        JOIN (VALUES (0, 'example.com'), (1, 'example.org'), (2, 'example.net')) AS r(pos, ref) ON @endswith(s.domain, r.ref) WHERE s.n <= 5 AND s.label IS NOT NULL) x WHERE k = 1"""),
     "ip_events": (["lookups", "domain_ips"], "SELECT ip, CAST(1 AS BIGINT) AS ips, CAST(count(*) AS BIGINT) AS domains FROM lookups GROUP BY ip"),
     # evaluation
-    "threshold_sweep": (["scores"], """SELECT t, tp, fp, fn, tn, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS prec, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS rec FROM (
-        SELECT CAST(t AS INT) AS t, CAST(count(CASE WHEN label AND score >= t THEN 1 END) AS BIGINT) AS tp, CAST(count(CASE WHEN NOT label AND score >= t THEN 1 END) AS BIGINT) AS fp, CAST(count(CASE WHEN label AND score < t THEN 1 END) AS BIGINT) AS fn, CAST(count(CASE WHEN NOT label AND score < t THEN 1 END) AS BIGINT) AS tn
+    "threshold_sweep": (["scores"], """SELECT t, tp, fp, fn, tn, (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) AS acc, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS prec, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS rec FROM (
+        SELECT CAST(t AS INT) AS t, CAST(sum(CASE WHEN label AND score >= t THEN weight ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN NOT label AND score >= t THEN weight ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN label AND score < t THEN weight ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN NOT label AND score < t THEN weight ELSE 0 END) AS BIGINT) AS tn
         FROM (SELECT label, score, count(*) AS weight FROM scores GROUP BY label, score) s CROSS JOIN (@series(1, 99, t)) x GROUP BY t) y"""),
     "best_threshold": (["scores"], """SELECT t, 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) AS f1 FROM (SELECT CAST(t AS INT) AS t, sum(CASE WHEN label AND score >= t THEN w ELSE 0 END) AS tp, sum(CASE WHEN NOT label AND score >= t THEN w ELSE 0 END) AS fp, sum(CASE WHEN label AND score < t THEN w ELSE 0 END) AS fn
         FROM (SELECT label, score, count(*) AS w FROM scores GROUP BY label, score) s CROSS JOIN (@series(1, 99, t)) x GROUP BY t) y WHERE 2 * tp + fp + fn > 0 ORDER BY f1 DESC, t LIMIT 1"""),
-    "pair_labels": (["snapshots"], "SELECT a.domain, CAST(count(*) AS BIGINT) AS positives FROM snapshots a JOIN snapshots b ON a.domain = b.domain AND a.id < b.id GROUP BY a.domain"),
-    "pair_report": (["snapshots"], """SELECT kind, a, b FROM (SELECT 'date' AS kind, x.id AS a, y.id AS b FROM snapshots x JOIN snapshots y ON x.domain = y.domain AND x.id < y.id UNION ALL
-        SELECT 'group', x.id, y.id FROM snapshots x JOIN snapshots y ON x.ts = y.ts AND x.id < y.id AND x.domain <> y.domain AND length(x.html) = length(y.html)) u"""),
-    "file_domains": (["snapshots"], "SELECT id, @extract(f, '^(.+?)_[0-9]{6}', 1) AS domain FROM (SELECT id, concat(replace(domain, '.', '_'), '_', 200000 + id, '.html') AS f FROM snapshots) x"),
     "slugs": (["snapshots"], "SELECT DISTINCT replace(domain, '.', '_') AS slug, @day(ts) AS at FROM snapshots"),
     "url_parts": ([], "SELECT page_id, @extract(url, '^([a-z]+)://', 1) AS scheme, @extract(url, '://([^/?#]*)', 1) AS host, @extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages"),
-    "page_status": (["snapshots"], "SELECT id, CASE WHEN status IS NULL THEN 'unknown' WHEN status < 300 THEN 'ok' WHEN status < 400 THEN 'redirect' ELSE 'error' END AS badge FROM (SELECT id, CASE id % 5 WHEN 0 THEN NULL ELSE 100 + id % 5 * 100 END AS status FROM snapshots) x"),
     "endpoint_order": (["packets"], "SELECT flow, seq, least(sport, dport) AS low_port, greatest(sport, dport) AS high_port FROM packets"),
     "ip_numbers": (["domain_ips"], f"SELECT DISTINCT ip, {V4} AS number FROM domain_ips"),
     "level_totals": (["alerts"], "SELECT alert_type, severity, CAST(count(*) AS BIGINT) AS n FROM alerts GROUP BY GROUPING SETS ((alert_type, severity), (alert_type), ())"),
 }
-STATEMENTS["threshold_sweep"] = (
-    ["scores"],
-    STATEMENTS["threshold_sweep"][1]
-    .replace("count(CASE WHEN label AND score >= t THEN 1 END)", "sum(CASE WHEN label AND score >= t THEN weight ELSE 0 END)")
-    .replace("count(CASE WHEN NOT label AND score >= t THEN 1 END)", "sum(CASE WHEN NOT label AND score >= t THEN weight ELSE 0 END)")
-    .replace("count(CASE WHEN label AND score < t THEN 1 END)", "sum(CASE WHEN label AND score < t THEN weight ELSE 0 END)")
-    .replace("count(CASE WHEN NOT label AND score < t THEN 1 END)", "sum(CASE WHEN NOT label AND score < t THEN weight ELSE 0 END)"),
-)

@@ -5,14 +5,21 @@ Each is one common table expression, the same text for Spark and for the checkin
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .dialect import render
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
 CTES = {
     "alerts": """SELECT event_id AS id, concat('site', user_id, '.example.org') AS domain, CAST(event_id % 5 + 1 AS INT) AS severity,
         CASE event_type WHEN 'error' THEN 'PREFILTER_MALICIOUS' WHEN 'purchase' THEN 'PREFILTER_CLASSIFIED' ELSE upper(event_type) END AS alert_type,
         @epoch(ts) AS ts, event_id % 3 = 0 AS acknowledged, @json_int(props, k) AS conf FROM events""",
     "probe_runs": "SELECT event_id AS id, concat('site', user_id, '.example.org') AS domain, @epoch(ts) AS ts, event_type = 'click' AS success FROM events WHERE event_type IN ('click', 'view')",
-    "domain_ips": """SELECT domain, ip, min(ts) AS first_seen, max(ts) AS last_seen FROM (
-        SELECT concat('site', o_custkey, '.example.org') AS domain, @epoch(o_orderdate) AS ts,
-            concat(CASE WHEN o_orderkey % 2 = 0 THEN '10.' ELSE '8.' END, @div(o_orderkey % 5000, 65536), '.', @div(o_orderkey % 5000, 256) % 256, '.', o_orderkey % 5000 % 256) AS ip FROM orders) GROUP BY domain, ip""",
+    "domain_ips": """SELECT domain, concat(CASE WHEN n % 2 = 0 THEN '10.' ELSE '8.' END, @div(n, 65536), '.', @div(n, 256) % 256, '.', n % 256) AS ip, min(ts) AS first_seen, max(ts) AS last_seen, min(k) AS k FROM (
+        SELECT concat('site', o_custkey, '.example.org') AS domain, @epoch(o_orderdate) AS ts, o_orderkey AS k, CASE WHEN o_orderkey % 10 < 3 THEN o_orderkey % 20 ELSE 20 + o_orderkey % 4000 END AS n FROM orders) o GROUP BY domain, n""",
     "events_of_risk": """SELECT id, domain, ts, CASE alert_type WHEN 'PREFILTER_MALICIOUS' THEN 60 WHEN 'PREFILTER_CLASSIFIED' THEN 10 ELSE 5 END AS delta,
         CASE alert_type WHEN 'PREFILTER_MALICIOUS' THEN 100 WHEN 'PREFILTER_CLASSIFIED' THEN 65 ELSE 40 END AS cap FROM alerts""",
     "risk_steps": """SELECT *, sum(delta) OVER (PARTITION BY domain ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM events_of_risk""",
@@ -29,10 +36,18 @@ CTES = {
         CAST(CASE WHEN l_suppkey % 3 = 0 THEN 53 ELSE 443 END AS INT) AS dport, @epoch(l_shipdate) AS ts FROM lineitem) p""",
     "snapshots": """SELECT page_id AS id, @extract(url, '://([^/?#]*)', 1) AS domain, page_id % 7 * 86400 + 1700000000 AS ts, html FROM pages""",
     "lookups": """SELECT DISTINCT ip, domain, provider FROM (
-        SELECT ip, domain, 'ptr' AS provider FROM domain_ips WHERE last_seen % 3 = 0 UNION ALL
-        SELECT ip, domain, 'hackertarget' FROM domain_ips WHERE first_seen % 2 = 0 UNION ALL
-        SELECT ip, domain, 'hackertarget-stale' FROM domain_ips WHERE first_seen % 5 = 0 UNION ALL
-        SELECT ip, domain, 'passive-dns' FROM domain_ips WHERE last_seen % 4 = 1) u""",
+        SELECT ip, domain, 'ptr' AS provider FROM domain_ips WHERE k % 3 = 0 UNION ALL
+        SELECT ip, domain, 'hackertarget' FROM domain_ips WHERE k % 2 = 0 UNION ALL
+        SELECT ip, domain, 'hackertarget-stale' FROM domain_ips WHERE k % 5 = 0 UNION ALL
+        SELECT ip, domain, 'passive-dns' FROM domain_ips WHERE k % 7 = 0) u""",
+    "answers": """SELECT concat('8.0.0.', user_id % 5) AS ip, concat('site', user_id, '.example.org') AS domain, @epoch(ts) AS ts, CAST(@json_int(props, k) * 60 AS BIGINT) AS ttl FROM events WHERE event_type <> 'error'""",
+    "contacts": """SELECT event_id AS id, concat('8.0.0.', user_id % 5) AS ip, @epoch(ts) AS ts FROM events WHERE event_type = 'error'""",
+    "details": """SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE concat('→ ', name, ' (', pct, '%', CASE WHEN id % 4 = 0 THEN ' ·mid-flow' WHEN id % 4 = 1 THEN ' ·dir?' ELSE '' END, ')',
+        CASE id % 5 WHEN 0 THEN concat(' [EXACTmatch dist=', id % 9, ' ref=a.org]') WHEN 1 THEN ' [HIGHmatch dist=12 ref=b.org]' WHEN 2 THEN ' [MODERATEmatch dist=30 ref=c.org]' WHEN 3 THEN ' [no HTML match]' ELSE '' END) END AS detail
+        FROM classified c JOIN labels_of_class l ON c.class_id = l.class_id""",
+    "watch": """SELECT u.domain, u.seen, CAST(coalesce(s.n, 0) AS INT) AS snapshots, s.status, p.last_success FROM (SELECT concat('site', user_id, '.example.org') AS domain, max(@epoch(ts)) AS seen FROM events GROUP BY user_id) u
+        LEFT JOIN (SELECT concat('site', user_id, '.example.org') AS domain, count(*) AS n, CAST(max(100 * (1 + event_id % 5)) AS INT) AS status FROM events WHERE event_type = 'purchase' AND user_id % 4 <> 1 GROUP BY user_id) s ON u.domain = s.domain
+        LEFT JOIN (SELECT concat('site', user_id, '.example.org') AS domain, max(@epoch(ts)) AS last_success FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 AND (user_id % 2 = 0 OR event_id % 1000 < 500) GROUP BY user_id) p ON u.domain = p.domain""",
     "scores": """SELECT d.doc_id, l.toxic = 1 AS label, CAST(d.doc_id * 37 % 101 AS INT) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "classified": """SELECT vec_id AS id, CAST(vec_id % 25 AS INT) AS class_id, CAST(vec_id * 13 % 101 AS INT) AS pct, CAST(vec_id % 7 AS INT) AS domains, concat('site', vec_id % 50, '.example.org') AS domain FROM embeddings""",
     "outcome_rules": """SELECT * FROM (VALUES ('EXACT', 'malicious', 60, 100), ('EXACT', 'known', 60, 100), ('HIGH', 'malicious', 45, 100), ('HIGH', 'known', 45, 100),
@@ -40,7 +55,7 @@ CTES = {
         ('NO_BASELINE', 'known', 8, 40), ('UNREACHABLE', 'malicious', 15, 65), ('UNREACHABLE', 'known', 5, 40)) AS t(outcome, kind, delta, cap)""",
 }
 USES = {
-    "events_of_risk": ["alerts"], "risk_steps": ["events_of_risk"], "risk": ["risk_steps"], "domains": ["alerts", "risk"], "lookups": ["domain_ips"],
+    "events_of_risk": ["alerts"], "risk_steps": ["events_of_risk"], "risk": ["risk_steps"], "domains": ["alerts", "risk"], "lookups": ["domain_ips"], "details": ["classified", "labels_of_class"],
 }
 
 
@@ -51,3 +66,23 @@ def closure(names: list[str]) -> list[str]:
             if m not in out:
                 out.append(m)
     return out
+
+
+def statement(ctes: list[str], sql: str, duck: bool) -> str:
+    """A statement with the relations that it reads, for one engine."""
+    head = ",\n".join(f"{c} AS ({CTES[c]})" for c in closure(ctes))
+    body = sql.lstrip()
+    if head and (m := re.match(r"WITH (RECURSIVE )?", body)):
+        return render(f"WITH {m[1] or ''}{head},\n{body[m.end():]}", duck)
+    return render(f"WITH {head}\n{sql}" if head else sql, duck)
+
+
+def on_files(sql: str, sf_dir: str) -> str:
+    """The tables as files of a folder."""
+    for t in TABLES:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 parquet.`{sf_dir}/{t}.parquet`", sql)
+    return sql
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.sql(on_files(statement([name], f"SELECT * FROM {name}", duck=False), sf_dir))

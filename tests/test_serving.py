@@ -1,6 +1,6 @@
 """Statements on small fixtures, against counts made by hand."""
 
-from netloom.plans.dialect import render
+from netloom.sources.dialect import render
 from netloom.plans.serving import STATEMENTS
 
 
