@@ -7,7 +7,8 @@ that language. The language that needs the fewest wins; ties go to the smallest
 
 Texts are folded: letters are lower-cased, all other runs become one space. They are parsed
 whole, in stretches of ``STRETCH`` characters (a phrase does not run over the edge of a
-stretch), many stretches at a time.
+stretch), many stretches at a time. A stretch's end cuts one phrase in two, so a cost is too
+high by at most one phrase in ``STRETCH`` letters, for all languages alike.
 
 Letters keep apart: the ``LETTERS`` commonest of the samples (and a to z) have codes, all others
 are spelled as UTF-8 bytes; a byte that no sample has begins a phrase in each language.
@@ -118,11 +119,22 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
     return out
 
 
-def phrases(stretches: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """stretches: [position, stretch] of codes, PAD beyond the end. Phrases of each stretch."""
+def _table(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton of a sample with columns for its own codes alone, and the column of each
+    code: one without transitions for those that it lacks, the last for PAD."""
+    own = np.unique(codes)
+    column = np.full(256, len(own), np.int32)
+    column[own] = np.arange(len(own))
+    column[PAD] = len(own) + 1
+    return suffix_automaton(column[codes], len(own) + 1), column
+
+
+def phrases(stretches: np.ndarray, move: np.ndarray, column: np.ndarray | None = None) -> np.ndarray:
+    """stretches: [position, stretch] of codes, PAD beyond the end. Phrases of each stretch.
+    column: where in the table each code is, if its columns are not the codes."""
     letters = move.shape[1] - 1
     flat = move.ravel()
-    stretches = np.where(stretches == PAD, letters, stretches).astype(np.int32)
+    stretches = column[stretches] if column is not None else np.where(stretches == PAD, letters, stretches).astype(np.int32)
     root = flat[: letters + 1].copy()
     root[root < 0] = 0
     state = np.zeros(stretches.shape[1], np.int32)
@@ -157,7 +169,7 @@ def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_00
     n_of = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row per language
     names = sorted(n_of)
     if not names:
-        return {"names": [], "alphabet": "", "moves": [], "bits": []}
+        return {"names": [], "alphabet": "", "moves": [], "columns": [], "bits": []}
     chars = max(2_000, min(sample_chars, total_chars // len(names)))
     take = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, 2.0 * sample_rows / n))])
     order = F.xxhash64(F.lit("sample"), id_col, text_col)
@@ -177,11 +189,9 @@ def train(labelled: DataFrame, sample_rows: int = 200, sample_chars: int = 60_00
     alphabet = "".join(sorted(sorted(seen, key=lambda c: (-(c < "\x80"), -seen[c], c))[:LETTERS]))
     table = fold_table(alphabet)
     codes = [spelled(texts[n], table, len(alphabet) + 2)[0] for n in names]
-    shortest = max(1, min(len(c) for c in codes if len(c)) if any(len(c) for c in codes) else 1)
-    letters = max(len(alphabet) + 2, *(int(c.max()) + 1 for c in codes if len(c)), 0) if any(len(c) for c in codes) else len(alphabet) + 2
-    moves = [suffix_automaton(c, letters) for c in codes]
+    moves, columns = zip(*map(_table, codes))
     bits = [float(np.log2(max(2, len(c)))) for c in codes]
-    return {"names": names, "alphabet": alphabet, "moves": moves, "bits": bits, "shortest": shortest}
+    return {"names": names, "alphabet": alphabet, "moves": list(moves), "columns": list(columns), "bits": bits}
 
 
 def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int = 1 << 22):
@@ -189,7 +199,6 @@ def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int =
     cost = np.zeros((len(texts), len(model["names"])))
     letters = np.zeros(len(texts), np.int64)
     group, owner, width = [], [], 0
-    width_of = model["moves"][0].shape[1] - 1 if model["moves"] else PAD
 
     def flush():
         nonlocal group, owner, width
@@ -199,13 +208,12 @@ def _costs(texts: list[str | None], model: dict, table: np.ndarray, most: int =
             for i, g in enumerate(group):
                 m[i, : len(g)] = g
             m = np.ascontiguousarray(m.T)
-            for k, move in enumerate(model["moves"]):
-                np.add.at(cost[:, k], of, phrases(m, move) * model["bits"][k])
+            for k, (move, column) in enumerate(zip(model["moves"], model["columns"])):
+                np.add.at(cost[:, k], of, phrases(m, move, column) * model["bits"][k])
         group, owner, width = [], [], 0
 
     for i, t in enumerate(texts):
         codes, letters[i] = spelled(t, table, len(model["alphabet"]) + 2) if t else (np.zeros(0, np.uint8), 0)
-        codes = np.where((codes >= width_of) & (codes != PAD), OTHER, codes).astype(np.uint8)  # bytes of no sample
         if letters[i]:
             for at in range(0, len(codes), STRETCH):
                 group.append(codes[at : at + STRETCH])
