@@ -1,17 +1,18 @@
 """SimHash near-duplicates found through pivot distance tables.
 
-Every distinct fingerprint gets a table of Hamming distances to fixed reference fingerprints:
-the zero fingerprint, the 64 with one bit set, and ``FAR`` spread over the space. By the
-triangle inequality two fingerprints at most ``radius`` apart differ by at most ``radius`` in
-each coordinate, and each bit in which they differ moves just one of the 64 coordinates
-relative to the first. So of ``radius + 2`` bands of those coordinates at least two agree:
-fingerprints that share the coordinates of two bands form a cell, and only pairs of one cell
-are compared. A pair is discarded by its largest difference over the spread coordinates;
-survivors are verified by their Hamming distance.
+Every distinct fingerprint has a table of Hamming distances to fixed reference fingerprints: the
+zero fingerprint, the 64 with one bit set, and ``FAR`` spread over the space. Two fingerprints at
+most ``radius`` apart differ by at most ``radius`` in each coordinate (triangle inequality).
+Relative to the first coordinate, those of the one-bit references say which bits are set, so for
+making candidates they are taken as bits: of ``radius + 2`` bands of bits at least two agree, and
+fingerprints that share two bands form a cell. The distances to the spread references are kept
+as numbers: a pair of a cell is discarded by its largest difference over them, and survivors are
+verified by their Hamming distance.
 
 A cell with more than ``cell_rows`` members is divided again by the same rule over its
-remaining coordinates, up to twice, so that no link is lost and no large cell is compared
-pairwise as a whole. Equal fingerprints count once: copies are never paired. Within a cell a
+remaining bits, up to twice, so that no link is lost and no large cell is compared pairwise as
+a whole. With a radius of 2 or less only 8 bits are open then, so no cell stays large; with 3
+there are 14, and cells that stay large are joined over tasks (``_pairs``). Equal fingerprints count once: copies are never paired. Within a cell a
 pair is given only if no links given before join it, so groups don't grow into all their pairs.
 
 Defined results: a null text has no words, as an empty one, and gets fingerprint zero, linked
@@ -29,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.components import components
 from ..runtime import discard, join_skewed, ship, stored
 from . import jaccard
-from .components import components
 from .workers import lean
 
 FAR = 16

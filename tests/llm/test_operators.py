@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm import components, ctw, decontaminate, langid, licenses, lm, mixing, registry, sharding, simhash, tokenfiles, topk, urlfilter
+from netloom.llm import ctw, decontaminate, langid, licenses, lm, mixing, registry, sharding, simhash, tokenfiles, topk, urlfilter
+from netloom.operators import components
 
 WORDS = "the of and alpha beta gamma delta été über señor token model data spark query shard".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int, row long, h long"

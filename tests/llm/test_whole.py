@@ -141,3 +141,37 @@ def test_letters_of_many_scripts_stay_apart(spark):
     one = langid.train(spark.createDataFrame([(i, t, k, "s", 0) for i, t, k in long], SCHEMA), sample_chars=4000)
     seen = langid.identify(spark.createDataFrame([(1, "wjq" * 20)], "doc_id long, text string"), one).first()
     assert seen["phrase_bits"] * seen["letters"] < 2 * one["bits"][0]
+
+
+def test_the_pipeline_as_a_whole(spark, tmp_path):
+    """One source: the mix takes every word once, so what is left is what the other stages keep."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([("i", item), (None, None), ("short", "zz")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    langs = {"aa": ["ka", "li", "mo", "re", "sun"], "bb": ["st", "er", "un", "tt", "ox"]}
+    texts = [(k, _made(rng, v, 90)) for k, v in langs.items() for _ in range(60)]
+    rows = [(i, t, k, "s", len(t)) for i, (k, t) in enumerate(texts)]
+    base = texts[5][1].split()
+    near = base[:40] + ["kali"] + base[41:]  # 5 of 86 shingles differ on either side
+    rows += [(500, texts[3][1], "aa", "s", 1), (501, " ".join(near), "aa", "s", 1), (502, texts[7][1] + " " + item, "aa", "s", 1), (503, None, None, "s", None), (504, "", "aa", "s", 0), (505, "123 456", "bb", "s", 7), (None, texts[9][1], "aa", "s", 1), (506, texts[11][1] + " " + texts[70][1], None, "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {r[0]: r[1] for r in rows if r[0] not in (500, 501, 502, 503, 504, 505, None)}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    known = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()}
+    assert not {503, 504, 505} & known and len(set(kept) - known) <= 2
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == set(kept) & known
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = {i: sorted(t.split()) for i, t in kept.items()}
+    start = 0
+    for i in sorted(out):
+        assert out[i]["start"] == start
+        start += out[i]["n_tokens"]
+    mixed = corpus_pipeline.mixed(spark, corpus_pipeline.decontaminated(spark, corpus_pipeline.near_dedup(spark, corpus_pipeline.language(spark, docs, str(tmp_path)), ""), str(tmp_path)), "").collect()
+    for r in mixed:
+        assert sorted(r["text"].split()) == words[r["doc_id"]]
+        assert out[r["doc_id"]]["n_tokens"] == len(encode.encode(r["text"], add_special_tokens=False).ids) + 1
