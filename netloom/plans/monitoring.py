@@ -8,7 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..operators import alerting, components as graph, flow_table, model, resolve, rules
+from ..operators import alerting, components as graph, flow_table, model, page_pairs, resolve, rules, views
 from ..runtime import ship, table
 from ..sinks import reports, state
 from ..sources import files, packets as frames
@@ -333,3 +333,34 @@ def json_walk(spark, sf_dir):
 def page_assets(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.array_join(files.assets(F.col("html"), F.col("url")), " ").alias("assets"))
+
+
+@query("alerts", "SELECT id, domain, severity, ts, 9 AS page FROM alerts WHERE severity >= 2 ORDER BY ts DESC, id DESC LIMIT 200 OFFSET 1600")
+def alerts_of_request(spark, sf_dir):
+    """The ninth page of a request, or the last that there is."""
+    rows, page, _ = views.alerts_page(relation(spark, sf_dir, "alerts"), **views.alert_request("ack=show&sev=2&page=9"))
+    return rows.select("id", "domain", "severity", "ts", F.lit(page).alias("page"))
+
+
+@query("domains alerts domain_ips", """SELECT d.domain, d.risk_score, CASE WHEN d.risk_score < 30 THEN 'risk-low' WHEN d.risk_score < 60 THEN 'risk-med' ELSE 'risk-high' END AS risk_class, (SELECT count(*) FROM alerts a WHERE a.domain = d.domain AND NOT acknowledged) AS open_alerts,
+    array_to_string((SELECT list(ip ORDER BY last_seen DESC, ip) FROM domain_ips i WHERE i.domain = d.domain)[:5], ',') AS ips FROM domains d""")
+def domain_list(spark, sf_dir):
+    d = relation(spark, sf_dir, "domains").select("domain", "risk_score")
+    return views.domain_list(d, relation(spark, sf_dir, "alerts"), relation(spark, sf_dir, "domain_ips"))
+
+
+@query("alerts", "SELECT domain, step, ts, least(100, coalesce(sum(d) OVER (PARTITION BY domain ORDER BY step), 0))::BIGINT AS score FROM (SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY ts, id) AS INTEGER) AS step, ts, CASE alert_type WHEN 'PREFILTER_MALICIOUS' THEN 60 WHEN 'PREFILTER_CLASSIFIED' THEN 10 ELSE 5 END AS d FROM alerts UNION ALL SELECT domain, 0, min(ts), 0 FROM alerts GROUP BY domain) s")
+def risk_over_time(spark, sf_dir):
+    return views.risk_trend(relation(spark, sf_dir, "alerts"))
+
+
+@query("alerts", f"""WITH a AS (SELECT domain, bool_or(severity >= 4) AS priority, min(id) AS seq FROM alerts GROUP BY domain) SELECT * FROM a WHERE domain NOT IN (SELECT domain FROM probe_runs WHERE NOT success AND {NOW} - ts < 86400)""".replace("probe_runs", "(SELECT concat('site', user_id, '.example.org') AS domain, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type = 'click' AS success FROM events WHERE event_type IN ('click', 'view')) pr"))
+def probes_asked(spark, sf_dir):
+    a = relation(spark, sf_dir, "alerts").select("domain", (F.col("severity") >= 4).alias("priority"), F.col("id").alias("seq"))
+    return views.probe_queue(a, relation(spark, sf_dir, "probe_runs").where("not success"), NOW, 86_400)
+
+
+@query()
+def page_matches(spark, sf_dir):
+    ship(spark)
+    return page_pairs.match_list(page_pairs.site_pairs(table(spark, sf_dir, "pages")))

@@ -1,13 +1,12 @@
 """Rules, resolver, flows, alerts, sinks and reports against rows written by hand."""
 
-import math
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.functions import domains, text as T
-from netloom.operators import alerting, components, fingerprint, flow_table, model, resolve, rules
+from netloom.functions import dom, domains, text as T
+from netloom.operators import alerting, components, fingerprint, flow_table, model, page_pairs, resolve, rules, views
 from netloom.sinks import reports, state
 from netloom.sources import files, packets
 
@@ -376,4 +375,44 @@ def test_components(spark):
     rows = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 60)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "q")]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(rows, "u string, v string")).collect()}
     assert got == {**{f"n{i:03d}": "n000" for i in range(61)}, "x": "x", "y": "x"}
-    assert math.isclose(1, 1)
+
+
+def test_requests():
+    assert views.alert_request("ack=show&sev=3&page=2") == {"show_acked": True, "min_severity": 3, "page": 2}
+    assert views.alert_request("sev=300&page=x") == views.alert_request("") == {"show_acked": False, "min_severity": 0, "page": 1} and views.alert_request("page=0")["page"] == 1
+    assert views.probe_request("ip=1.2.3.4&sources=ptr,a%2Bb&verify=on") == {"ip": "1.2.3.4", "sources": ["ptr", "a+b"], "verify": True}
+    assert views.probe_request("sources=ptr") is None and views.source_list(" ptr, ,hackertarget,passive-dns,, ") == ["ptr", "hackertarget", "passive-dns"]
+
+
+def test_views(spark):
+    rows = [(i, "a.org" if i % 2 else "b.org", i % 5 + 1, "PREFILTER_MALICIOUS" if i % 3 == 0 else "x", None, 100 + i // 2, i % 4 == 0) for i in range(10)]
+    alerts = spark.createDataFrame(rows, state.ALERTS)
+    got, page, pages = views.alerts_page(alerts, page=99, size=3)
+    assert (page, pages) == (3, 3) and [r["id"] for r in got.collect()] == [1]
+    got, page, pages = views.alerts_page(alerts, True, 4, -5, 3)
+    assert (page, pages) == (1, 2) and [r["id"] for r in got.collect()] == [9, 8, 4]
+    assert views.alerts_page(alerts.limit(0))[1:] == (1, 0)
+    assert [tuple(r) for r in views.severity_breakdown(alerts).orderBy("severity").collect()] == [(1, "info", 1, 50), (2, "low", 2, 100), (3, "medium", 2, 100), (4, "high", 1, 50), (5, "critical", 1, 50)]
+    domains_ = spark.createDataFrame([("a.org", 70, "probe", 1, 2), ("b.org", None, None, 1, 2), ("x.y.z.org", 90, "probe", 1, 2)], state.DOMAINS)
+    ips = spark.createDataFrame([("a.org", f"1.1.1.{i}", 0, i) for i in range(7)], state.DOMAIN_IPS)
+    probes = spark.createDataFrame([("a.org", 50, False), ("a.org", 40, True), ("b.org", 5, True)], state.PROBE_RUNS)
+    assert tuple(views.totals(domains_, alerts, ips, probes).first()) == (3, 7, 4, 0, 0, 7, 3, 50)
+    listed = {r["domain"]: (r["risk_class"], r["open_alerts"], r["ips"]) for r in views.domain_list(domains_, alerts, ips).collect()}
+    assert listed["a.org"] == ("risk-high", 5, "1.1.1.6,1.1.1.5,1.1.1.4,1.1.1.3,1.1.1.2") and listed["b.org"][:2] == ("", 2)
+    snaps = spark.createDataFrame([(i, "a.org", i, 0, f"t{i}", None, [], [], []) for i in range(25)], state.SNAPSHOTS)
+    page = views.domain_page("a.org", domains_, alerts, ips, snaps, probes)
+    assert tuple(page["domain"].first()) == ("a.org", 70, "risk-high", 40, 50) and page["snapshots"].count() == 20
+    assert [r["score"] for r in page["risk"].orderBy("step").collect()] == [0, 5, 65, 70, 75, 100]
+    assert [r["domain"] for r in views.needing_probe(domains_, probes, 100, 60, 45).collect()] == ["a.org"] and not views.needing_probe(domains_, probes, 100, 60, 51).collect()
+    labels = spark.createDataFrame([(0, "fine", "benign", ["q.org"]), (1, "bad", "malicious", ["a.org", "", "n.org"]), (2, "shop", "known", ["a.org"])], "class_id int, name string, kind string, typical array<string>")
+    assert sorted((r["domain"], r["class_name"], r["snapshots"], r["title"], r["status"]) for r in views.tracked(labels, snaps, probes, 40 + 7 * 86400).collect()) == [("a.org", "bad", 25, "t24", "stale"), ("n.org", "bad", 0, None, "no baseline")]
+    asked = spark.createDataFrame([("a", False, 1), ("b", True, 5), ("a", True, 7), ("c", False, 0), ("d", True, 2)], "domain string, priority boolean, seq int")
+    failed = spark.createDataFrame([("d", 900), ("c", 100)], "domain string, ts int")
+    assert [r["domain"] for r in views.probe_queue(asked, failed, 1000).collect()] == ["a", "b", "c"]
+
+
+def test_match_list(spark):
+    html = "<html><body><div><ul><li>one two</li><li>x yy</li></ul></div><section><p>a</p><p>b</p></section></body></html>"
+    rows = page_pairs.match_list(spark.createDataFrame([(1, 2, html, html.replace("one", "other")), (3, 4, None, html)], "a long, b long, html_a string, html_b string")).collect()
+    a, b = dom.Page(html), dom.Page(html.replace("one", "other"))
+    assert [(r["node_a"], r["node_b"]) for r in rows if r["a"] == 1] == dom.matches(a, b) and all(r["hue"] == int((1 - r["jaccard"]) * 240) for r in rows) and {r["a"] for r in rows} == {1}
