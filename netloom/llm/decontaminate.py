@@ -99,7 +99,7 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, bytes | None]], window:
                 [b.column(0), pa.array(n_words, pa.int64()), pa.array(hits, spans), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "item_ids"]
             )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_words long, spans array<struct<a: long, b: long, start: long, stop: long>>, item_ids array<string>")
+    return docs.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<struct<a: long, b: long, start: long, stop: long>>, item_ids array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -113,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         return _scan(docs, [tuple(r) for r in items.collect()], window)  # at most block_bytes of text
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     # the passes meet per row: rows that are wholly equal have equal results
-    docs = stored(docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("doc_id", "text")), "rows")
+    docs = stored(docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("row", F.concat(F.coalesce(F.sha2("text", 256), F.lit("null")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "rows")
     passes = [
         stored(_scan(docs.select(F.col("row").alias("doc_id"), "text"), [(r[0], r[1]) for r in items.where(F.col("block") == i).collect()], window), "pass") for i in range(blocks)
     ]
