@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..runtime import discard, stored
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The links as a table, with their number and a sum over them that tells when they stay."""
+    seen = Observation()
+    out = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24)).alias("x")), "links")
+    got = seen.get
+    return out, (got["n"], got["x"] or 0)
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: ``u, v`` of one type, in any direction, repeats allowed.
 
-    Returns ``node long, root long`` for every node that has a link to another node; ``root``
-    is the smallest node of its component. Nulls and self-links are left out. The number of
-    rounds grows with the logarithm of the component size; every round is a written table, so
-    neither links nor components reach the driver.
+    Returns ``node, root`` for every node that has a link to another node; ``root`` is the
+    smallest node of its component. Nulls and self-links are left out. The number of rounds grows
+    with the logarithm of the component size; every round is a written table, so neither links
+    nor components reach the driver.
     """
-    edges = stored(
-        links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
-    )
-    mark = _mark(edges)
+    edges, mark = _written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while mark[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
@@ -37,11 +37,10 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        old, edges = edges, stored(small, "links")
-        now = _mark(edges)
+        old, was = edges, mark
+        edges, mark = _written(small)
         discard(old)
-        if now == mark:
+        if mark == was:
             break
-        mark = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
