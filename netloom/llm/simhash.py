@@ -271,9 +271,9 @@ def near_copies(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int
     First fingerprints of these shingles at most ``radius`` bits apart are found by the pivot
     tables; a surviving pair is verified by its sets. Pairs at the similarity of 0.8 differ in
     about 10 of 64 bits, 16 at times, where pivots discard next to nothing and cells of common
-    bands hold nearly all pairs; so the pairs that are not joined by then are found by their
-    shingles (``jaccard``), exactly: those with the most copied member of a cell and neighbours
-    first, then all that are still apart.
+    bands hold nearly all pairs; so the others are found by their shingles (``jaccard``), exactly:
+    those with the most copied member of a cell and neighbours together with the first, then all
+    that are still apart.
 
     Null and empty texts have no shingles and are copies of each other. Rows with equal sets count
     once. An empty table gives no rows. Equal keys must have equal texts.
@@ -302,10 +302,17 @@ def near_copies(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int
         return out
 
     near = joining_links(facts.where("size > 0").select("node", "fp").join(members.select("node").distinct(), "node", "left_semi"), radius)
-    links = similar(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    for every in (False, True):
-        roots = components(links).select("node", F.col("root").alias("of"))
-        apart = members.join(facts_of, "node").join(roots, "node", "left").withColumn("root", F.coalesce("of", "node"))
-        links = links.unionAll(similar(jaccard.candidates(apart, least, every)))
-    roots = stored(facts.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("component")), "roots")
+    near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    members = members.join(facts_of, "node")
+    links = similar(near.unionByName(jaccard.candidates(members.withColumn("root", F.col("node")), least, False)).distinct())
+    roots = components(links)
+    apart = members.join(roots.select("node", F.col("root").alias("of")), "node", "left").withColumn("root", F.coalesce("of", "node"))
+    more = similar(jaccard.candidates(apart, least, True))
+    if not more.isEmpty():  # they join what the roots stand for
+        of = facts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        u, v = of.select(F.col("node").alias("u"), F.col("root").alias("ru")), of.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        joined = components(more.join(u, "u").join(v, "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("of"))
+        roots = join_skewed(of, of.select("root").distinct().join(joined, "root", "left").select("root", F.coalesce("of", "root").alias("of")), "root").select("node", F.col("of").alias("root"))
+    roots = stored(facts.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component")), "roots")
     return join_skewed(keys, roots, "node").select("key", "component")
