@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import shared_dir, ship
 from .workers import held, lean
 
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 750_000
 #: Beyond these characters the pre-tokenizer's classes may differ from Python's.
 _PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏА-я]")
 #: With any of these inside (or white space at an end) white space doesn't come one at a time.
