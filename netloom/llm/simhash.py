@@ -279,7 +279,7 @@ def near_copies(rows: DataFrame, least: float = 0.8, size: int = 5, radius: int
     once. An empty table gives no rows. Equal keys must have equal texts.
     """
     ship(rows.sparkSession)
-    common = jaccard.common_shingles(rows, size, rows.count())
+    common = jaccard.common_shingles(rows, size)
     found = stored(jaccard.prefixes(rows, size, least, common), "prefixes")
     facts = found.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("fp").alias("fp"))
     facts = stored(facts, "nodes")
