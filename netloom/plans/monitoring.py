@@ -335,7 +335,8 @@ def page_assets(spark, sf_dir):
     return p.select("page_id", F.array_join(files.assets(F.col("html"), F.col("url")), " ").alias("assets"))
 
 
-@query("alerts", "SELECT id, domain, severity, ts, 9 AS page FROM alerts WHERE severity >= 2 ORDER BY ts DESC, id DESC LIMIT 200 OFFSET 1600")
+@query("alerts", """WITH c AS (SELECT least(9, greatest(1, (count(*) + 199) // 200)) AS p FROM alerts WHERE severity >= 2), r AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id DESC) AS k FROM alerts WHERE severity >= 2)
+    SELECT id, domain, severity, ts, CAST(p AS INTEGER) AS page FROM r, c WHERE k > (p - 1) * 200 AND k <= p * 200""")
 def alerts_of_request(spark, sf_dir):
     """The ninth page of a request, or the last that there is."""
     rows, page, _ = views.alerts_page(relation(spark, sf_dir, "alerts"), **views.alert_request("ack=show&sev=2&page=9"))

@@ -24,7 +24,8 @@ def _emit(times: list[int], last: int | None, cooldown: int) -> tuple[list[int],
 
 
 def throttle_stream(events: DataFrame, cooldown: int, late: str = "10 minutes") -> DataFrame:
-    """events: key string, t bigint (seconds). The rows that no emitted row precedes by less than
+    """events: key string, t bigint (seconds, 0 or more: a stream's first watermark is at 0, and what
+    is not past it counts as late, so event times are shifted by one). The rows that no emitted row precedes by less than
     cooldown. What is later than ``late`` behind the newest goes; times before the last that was
     emitted count as within its cooldown. A key's state is dropped once its cooldown is over for all
     that may still come."""
@@ -37,10 +38,10 @@ def throttle_stream(events: DataFrame, cooldown: int, late: str = "10 minutes")
         out, last = _emit([t for p in parts for t in p["t"].tolist()], last, cooldown)
         if last is not None:
             state.update((last,))
-            state.setTimeoutTimestamp(max((last + cooldown) * 1000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((last + cooldown + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]] * len(out), "t": out})
 
-    timed = events.select("key", "t", F.timestamp_seconds("t").alias("at")).withWatermark("at", late)
+    timed = events.select("key", "t", F.timestamp_seconds(F.col("t") + 1).alias("at")).withWatermark("at", late)
     return timed.groupBy("key").applyInPandasWithState(run, "key string, t bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
