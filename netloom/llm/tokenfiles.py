@@ -12,8 +12,9 @@ the attempt and renamed when complete, so a lost executor or a repeated task lea
 files only. Starting points across files follow from the files' totals (a row per file).
 
 Words are encoded once per worker: a text is cut where the vocabulary's own pre-tokenizer
-would cut, and the ids of up to ``MEMO_PIECES`` pieces are remembered (all are forgotten when
-there are more).
+would cut, and the ids of up to ``MEMO_PIECES`` pieces are remembered. When there are more, those
+not met again are forgotten (all, if those met again are over half of them), and encoded anew when
+they come; that decides the cost only.
 
 Defined results: a null text is encoded as an empty one: the end id alone. Null ids come
 first. Rows that repeat an id follow each other in order of their texts. Texts of any length
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import shared_dir, ship
 from .workers import held, lean
 
-MEMO_PIECES = 1_500_000
+MEMO_PIECES = 500_000
 #: Beyond these characters the pre-tokenizer's classes may differ from Python's.
 _PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ɏА-я]")
 #: With any of these inside (or white space at an end) white space doesn't come one at a time.
@@ -76,14 +77,31 @@ class Encoder:
         self.short: dict[str, list[int]] = {}  # ids of words of up to three characters
         self.ids = np.zeros(1 << 16, np.uint32)  # of all known pieces, one after another
         self.starts = np.zeros(1 << 16, np.int64)  # of piece i in ids; piece i + 1 begins where it ends
+        self.again = np.zeros(1 << 16, bool)  # piece i was met after the call that learned it
         self.known = 0
 
-    def _append(self, ids: list[int], sizes: list[int]) -> None:
+    def trim(self) -> None:
+        """Forget the pieces that were not met again."""
+        keep = np.flatnonzero(self.again[: self.known])
+        if 2 * len(keep) > MEMO_PIECES:
+            return self.reset()
+        old, ids, starts = self.codes, self.ids, self.starts
+        self.reset()
+        place = np.full(len(starts), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        self.codes = {p: place[c] for p, c in old.items() if place[c] >= 0}
+        sizes = starts[keep + 1] - starts[keep]
+        ends = np.cumsum(sizes)
+        self._append(ids[np.repeat(starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))], sizes)
+
+    def _append(self, ids: list[int] | np.ndarray, sizes: list[int] | np.ndarray) -> None:
         at, n = int(self.starts[self.known]), len(ids)
         while at + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(sizes) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[at : at + n] = ids
         self.starts[self.known + 1 : self.known + 1 + len(sizes)] = at + np.cumsum(sizes)
         self.known += len(sizes)
@@ -116,7 +134,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has."""
         if len(self.codes) > MEMO_PIECES:
-            self.reset()
+            self.trim()
         plain = [self.plain(t) for t in texts]
         odd = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
         # a space begins the next piece; so does a line end, which then takes the place of a space
@@ -124,6 +142,7 @@ class Encoder:
         every = list(chain.from_iterable(pieces))
         known = self.codes
         codes = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        self.again[codes[codes >= 0]] = True
         missing = np.flatnonzero(codes < 0).tolist()
         if missing:
             unknown = list({every[i] for i in missing})

@@ -175,3 +175,25 @@ def test_the_pipeline_as_a_whole(spark, tmp_path):
     for r in mixed:
         assert sorted(r["text"].split()) == words[r["doc_id"]]
         assert out[r["doc_id"]]["n_tokens"] == len(encode.encode(r["text"], add_special_tokens=False).ids) + 1
+
+
+def test_encoder_keeps_the_pieces_it_meets_again(monkeypatch):
+    """A full memory forgets what came once, not what comes all the time, and ids stay right."""
+    import public_tokenizers
+    from netloom.llm import tokenfiles
+
+    monkeypatch.setattr(tokenfiles, "MEMO_PIECES", 100)
+    enc = tokenfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    common, learned, learn = [f"often{i}" for i in range(20)], [], enc.learn
+    enc.learn = lambda pieces: (learned.extend(pieces), learn(pieces))
+    for n in range(60):
+        texts = [" ".join(["Start", *common, *(f"once{n}x{i}" for i in range(10)), "end"]), " ".join(common[::-1])]
+        ids, counts = enc.encode(texts)
+        want = [enc.model.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        assert len(enc.codes) == enc.known <= 150
+    assert all(learned.count(" " + w) == 1 for w in common[1:-1])
+    # with nothing but pieces that come again, all are forgotten at the limit
+    for n in range(3):
+        enc.encode([" ".join(f"all{i}" for i in range(200))] * 2)
+    assert len(enc.codes) <= 400
