@@ -27,12 +27,13 @@ language).
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import ship
+from ..runtime import discard, ship, stored
 from .workers import held, lean
 
 STRETCH = 256
@@ -269,24 +270,43 @@ def excess(model: dict) -> Column:
     return F.greatest(F.lit(0.0), F.col("phrase_bits") - 2 * bits / F.greatest("letters", F.lit(1)))
 
 
-def limits(labelled: DataFrame, model: dict, rows: int = 400, lang_col: str = "lang", text_col: str = "text") -> dict[str, float]:
+def _medians(scored: DataFrame, least: int) -> dict[str | None, float]:
+    """scored: ``lang, x``. The exact median of each language with ``least`` rows, and of all rows (None):
+    rows are counted in bins of 1/1024 first, then values in the bins that hold the middle ones."""
+    place = F.floor(F.col("x") * 1024).cast("long")
+    bins: dict[str | None, dict[int, int]] = {None: {}}
+    for lang, at, n in scored.groupBy("lang", place).count().collect():  # a letter costs some 16 bits at most, so under 2^15 bins a language
+        for of in (lang, None):
+            bins.setdefault(of, {})[at] = bins.get(of, {}).get(at, 0) + n
+    bins = {k: v for k, v in bins.items() if v and (k is None or sum(v.values()) >= least)}
+    middle = {}  # the bins that hold the two middle ranks, and the ranks from the first of them on
+    for k, v in bins.items():
+        ends = np.cumsum([v[b] for b in sorted(v)])
+        ranks = [(int(ends[-1]) - 1) // 2, int(ends[-1]) // 2]
+        held = [int(np.searchsorted(ends, r, side="right")) for r in ranks]
+        first = int(ends[held[0] - 1]) if held[0] else 0
+        middle[k] = [sorted(v)[i] for i in held], [r - first for r in ranks]
+    wanted = sorted({b for held, _ in middle.values() for b in held})
+    got = scored.where(place.isin(wanted)).groupBy("lang", "x").count().collect() if wanted else []  # values of a few bins
+    out = {}
+    for k, (held, ranks) in middle.items():
+        some = sorted((x, n) for lang, x, n in got if (k is None or lang == k) and held[0] <= math.floor(x * 1024) <= held[1])
+        ends = np.cumsum([n for _, n in some])
+        out[k] = float(np.mean([some[int(np.searchsorted(ends, r, side="right"))][0] for r in ranks]))
+    return out
+
+
+def limits(labelled: DataFrame, model: dict, lang_col: str = "lang", text_col: str = "text") -> dict[str, float]:
     """Per language the most bits a letter, as by ``excess``, of a text in it: twice the median
-    of labelled rows that the model has not seen, but at most half way from that to a phrase a
+    of all labelled rows, which the model must not have seen, but at most half way from that to a phrase a
     letter. Languages with under 5 such rows get the median of all; without any, no limit."""
     labelled = labelled.where(F.col(lang_col).isin(model["names"]) & F.col(text_col).isNotNull())
-    n_of = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    if not n_of:
-        return {n: float("inf") for n in model["names"]}
-    take = F.create_map(*[F.lit(x) for k, n in n_of.items() for x in (k, min(1.0, rows / n))])
-    order = F.pmod(F.xxhash64(F.lit("limits"), text_col), F.lit(1 << 40))
-    some = labelled.where(order < F.element_at(take, F.col(lang_col)) * float(1 << 40)).select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got: dict[str, list] = {}
-    for r in identify(some, model, keep=["lang"]).where("letters >= 50 and lang = lang_pred").select("lang", excess(model).alias("x")).collect():  # about ``rows`` a language
-        got.setdefault(r["lang"], []).append(r["x"])
-    every = [x for v in got.values() for x in v]
+    every = labelled.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    scored = stored(identify(every, model, keep=["lang"]).where("letters >= 50 and lang = lang_pred").select("lang", excess(model).alias("x")), "excess")
+    median = _medians(scored, 5)
+    discard(scored)
     out = {}
     for n, bits in zip(model["names"], model["bits"]):
-        mine = got.get(n, [])
-        mine = mine if len(mine) >= 5 else every
-        out[n] = min(2 * float(np.median(mine)), (float(np.median(mine)) + bits) / 2) if mine else float("inf")
+        mine = median.get(n, median.get(None))
+        out[n] = min(2 * mine, (mine + bits) / 2) if mine is not None else float("inf")
     return out

@@ -197,3 +197,27 @@ def test_encoder_keeps_the_pieces_it_meets_again(monkeypatch):
     for n in range(3):
         enc.encode([" ".join(f"all{i}" for i in range(200))] * 2)
     assert len(enc.codes) <= 400
+
+
+def test_limits_of_all_held_out_rows(spark):
+    from netloom.llm import langid
+
+    rng = random.Random(21)
+    own = {"aa": ["ka", "li", "mo", "ta", "ne"], "bb": ["st", "er", "un", "gei", "ach"]}
+    made = [(_made(rng, own[k] + (["zq", "wy"] if rng.random() < 0.4 else []), rng.randint(20, 40)), k) for k in ["aa", "bb"] * 700]
+    docs = spark.createDataFrame([(i, t, k, "s", 0) for i, (t, k) in enumerate(made)], SCHEMA).repartition(3)
+    model = langid.train(docs.where("doc_id < 100"))
+    rest = docs.where("doc_id >= 100")
+    x = {}
+    for r in langid.identify(rest, model, keep=["lang"]).where("letters >= 50 and lang = lang_pred").select("lang", langid.excess(model).alias("x")).collect():
+        x.setdefault(r["lang"], []).append(r["x"])
+    assert min(map(len, x.values())) > 500
+    want = {k: min(2 * np.median(x[k]), (np.median(x[k]) + b) / 2) for k, b in zip(model["names"], model["bits"])}
+    got = langid.limits(rest, model)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    # under five rows of a language: the median of all rows
+    few = rest.where("lang = 'aa' or doc_id < 108")
+    every = [r["x"] for r in langid.identify(few, model, keep=["lang"]).where("letters >= 50 and lang = lang_pred").select(langid.excess(model).alias("x")).collect()]
+    b = model["bits"][1]
+    assert math.isclose(langid.limits(few, model)["bb"], min(2 * np.median(every), (np.median(every) + b) / 2), rel_tol=1e-12)
+    assert set(langid.limits(rest.limit(0), model).values()) == {math.inf}
