@@ -221,3 +221,20 @@ def test_limits_of_all_held_out_rows(spark):
     b = model["bits"][1]
     assert math.isclose(langid.limits(few, model)["bb"], min(2 * np.median(every), (np.median(every) + b) / 2), rel_tol=1e-12)
     assert set(langid.limits(rest.limit(0), model).values()) == {math.inf}
+
+
+def test_written_tables_free_the_drivers_jvm(spark, monkeypatch):
+    from netloom import runtime
+
+    monkeypatch.setattr(runtime, "_LIGHTENED", {}, raising=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = full()
+    out = runtime.stored(spark.range(3), "kept")
+    assert full() > before
+    assert out.count() == 3
+    runtime.discard(out)
+    # at most once in some seconds, and the C library's memory too
+    assert runtime.lighten(spark) is None
+    runtime._LIGHTENED.clear()
+    assert runtime.lighten(spark).startswith("Trim native heap")
