@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import rules
+from ..runtime import stored
 
 
 class State:
@@ -82,18 +83,20 @@ def add_to_buckets(old: DataFrame, events: DataFrame) -> DataFrame:
 
 def append_alerts(old: DataFrame, new: DataFrame) -> DataFrame:
     """new: alerts without ids: they go on from the largest, in order of (ts, domain, severity, alert_type, detail).
-    Numbered by ranges of that order, not in one task."""
+    Numbered by ranges of that order, not in one task. The ranges come from a sample that each run
+    draws anew, so the dealt rows are written once, and both their numbers and the ranges' sizes are read from there."""
     order = ["ts", "domain", "severity", "alert_type", "detail"]
     last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())  # a row per partition
+    # the number of the range above 33 bits that count its rows
+    dealt = stored(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "alerts")
+    part = F.shiftright("_at", 33).cast("int").alias("_part")
+    sizes = sorted((r["_part"], r["count"]) for r in dealt.groupBy(part).count().collect())  # a row per partition
     at, starts = last, []
-    for part, n in sizes:
-        starts.append((part, at))
+    for one, n in sizes:
+        starts.append((one, at))
         at += n
     starts = old.sparkSession.createDataFrame(starts, "_part int, _start long")
-    numbered = dealt.join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_n"))
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("id", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     return old.unionByName(numbered.withColumn("acknowledged", F.lit(False)).select(old.columns))
 
 

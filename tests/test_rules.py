@@ -295,6 +295,17 @@ def test_alerts(spark):
     assert [r["step"] for r in alerting.probe_step(steps, 1000, 100).collect()] == ["NoBaseline", "NoBaseline", "Compare", "Unreachable", "Unreachable", "NoBaseline", "Compare"]
 
 
+def test_alert_numbers_stay_with_their_order(spark):
+    """The ranges that rows are dealt to come from a sample that differs from run to run."""
+    day = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
+    new = spark.range(0, 60_000, 1, 6).select(F.lit("a.org").alias("domain"), F.lit(1).alias("severity"), F.lit("T").alias("alert_type"), F.lit(None).cast("string").alias("detail"), day.alias("ts"))
+    old = spark.createDataFrame([(1000, "old.org", 1, "T", None, 0, True)], state.ALERTS)
+    got = [r["ts"] for r in state.append_alerts(old, new).where("id > 1000").orderBy("id").select("ts").collect()]
+    assert got == sorted(r[0] for r in new.select("ts").collect())
+    ids = state.append_alerts(old, new).agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+    assert tuple(ids) == (60_001, 60_001, 1000, 61_000)
+
+
 def test_written_states(spark, tmp_path):
     s = state.State(spark, str(tmp_path / "domains"), state.DOMAINS)
     seen = spark.createDataFrame([("a.org", 10), ("a.org", 30), ("b.org", 20)], "domain string, ts long")
