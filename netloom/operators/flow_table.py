@@ -108,27 +108,34 @@ def _step(open_: _Open | None, p, dim: int, select: int, idle: float) -> tuple[_
 _COLUMNS = [c.split()[0] for c in FLOW.split(", ")]
 
 
-def flows(packets: DataFrame, dim: int = 10, select: int = 1, idle: float = 30.0) -> DataFrame:
+def flows(packets: DataFrame, dim: int = 10, select: int = 1, idle: float = 30.0, apart: list[str] | None = None) -> DataFrame:
     """packets: of ``kept``, with a ``seq`` that orders equal times. FLOW rows. Packets stream through
-    in order of (flow, time): a task holds one open flow, however many packets its endpoints have."""
+    in order of (flow, time): a task holds one open flow, however many packets its endpoints have.
+
+    apart: columns that tell packets of the same endpoints apart (where or by whom they were captured):
+    each of their values has flows of its own."""
+    apart = list(apart or [])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, open_ = None, None
         for f in frames:
             out = []
             for p in f.itertuples(index=False):
-                if p.flow != name:
+                if (now := (p.flow, *p[: len(apart)])) != name:
                     if open_ is not None:
-                        out.append(open_.row(name, True))
-                    name, open_ = p.flow, None
+                        out.append(open_.row(name[0], True))
+                    name, open_ = now, None
                 open_, more = _step(open_, p, dim, select, idle)
                 out += more
             yield pd.DataFrame(out, columns=_COLUMNS)
         if open_ is not None:
-            yield pd.DataFrame([open_.row(name, True)], columns=_COLUMNS)
+            yield pd.DataFrame([open_.row(name[0], True)], columns=_COLUMNS)
 
-    p = packets.select("flow", "src", "dst", "sport", "dport", "ack", "flags", "payload_len", F.col("ts").cast("double").alias("ts"), "seq")
-    return p.repartition("flow").sortWithinPartitions("flow", "ts", "seq").mapInPandas(run, FLOW)
+    # as text, so that nulls are equal to each other; first, so that their names can't clash
+    more = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_apart{i}") for i, c in enumerate(apart)]
+    of = [f"_apart{i}" for i in range(len(apart))]
+    p = packets.select(*more, "flow", "src", "dst", "sport", "dport", "ack", "flags", "payload_len", F.col("ts").cast("double").alias("ts"), "seq")
+    return p.repartition("flow", *of).sortWithinPartitions("flow", *of, "ts", "seq").mapInPandas(run, FLOW)
 
 
 def flow_stream(packets: DataFrame, dim: int = 10, select: int = 1, idle: float = 30.0, late: str = "10 seconds") -> DataFrame:

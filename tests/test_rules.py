@@ -176,6 +176,13 @@ def test_flow_table(spark):
     assert flow_rows(flow_table.flows(kept, dim=4).collect()) == sorted(WANT)
 
 
+def test_flows_told_apart(spark):
+    """Two captures hold packets of the same endpoints at the same times: each has flows of its own."""
+    both = spark.createDataFrame([(*r, k) for k in ("x", None) for r in made_packets()], PACKET + ", capture string").repartition(3)
+    kept = flow_table.kept(both, skip_nets=flow_table.networks(["100.64.0.0/10"]))
+    assert flow_rows(flow_table.flows(kept, dim=4, apart=["capture"]).collect()) == sorted(WANT * 2)
+
+
 def test_flow_stream_equals_table(spark, tmp_path):
     kept = flow_table.kept(spark.createDataFrame(made_packets(), PACKET), skip_nets=flow_table.networks(["100.64.0.0/10"])).withColumn("at", F.timestamp_seconds("ts"))
     kept = kept.where("ts < 1000")
