@@ -46,23 +46,32 @@ def candidates(flows: DataFrame, live: DataFrame, known: DataFrame, passive: Dat
     Gives ``id, pos, domain`` and ``id, domain, priority``.
     """
     both = live.select("ip", F.lit(0).alias("k"), "pos", "domain").unionByName(known.select("ip", F.lit(1).alias("k"), "pos", "domain"))
+    both = both.join(flows.select("ip").distinct(), "ip", "left_semi")
     one = both.groupBy("ip", "domain").agg(F.min(F.struct("k", "pos")).alias("at"))
     lists = one.withColumn("pos", F.row_number().over(W.partitionBy("ip").orderBy("at", "domain"))).withColumn("n", F.count("*").over(W.partitionBy("ip")))
-    rows = flows.select("id", "ip", "class_name", "typical").join(lists.select("ip", "domain", "pos", "n"), "ip")
-    few = rows.where(F.col("n") <= cdn).where(~rules.is_infra(F.col("domain"), infra)).select("id", "pos", "domain")
+    short, long_ = lists.where(F.col("n") <= cdn).select("ip", "domain", "pos"), lists.where(F.col("n") > cdn).select("ip", "domain", "pos")
+    few = flows.select("id", "ip").join(short, "ip").where(~rules.is_infra(F.col("domain"), infra)).select("id", "pos", "domain")
 
-    many = rows.where(F.col("n") > cdn)
+    # flows to an address and of a class share what is chosen, so its list is read once, not once a flow;
+    # a domain fits a site that it equals or ends with after a dot: the sites that it fits are counted out
     site = F.when(F.col("class_name").contains("."), rules.last_two_labels(F.col("class_name"))).otherwise(F.col("class_name"))
-    fits = (F.col("domain") == site) | F.endswith("domain", F.concat(F.lit("."), site))
-    chosen = many.groupBy("id").agg(F.min_by(F.when(fits, F.col("domain")), F.when(fits, F.col("pos"))).alias("fit"), F.min_by("domain", "pos").alias("first"))
+    sites = flows.select("ip", "class_name", site.alias("site")).distinct()
+    labels = F.split("domain", "[.]", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fit = long_.select("ip", "domain", "pos", F.explode(ends).alias("site")).join(sites, ["ip", "site"])
+    fit = fit.groupBy("ip", "class_name").agg(F.min(F.struct("pos", "domain")).alias("fit"))
+    first = long_.groupBy("ip").agg(F.min(F.struct("pos", "domain")).alias("first"))
+    crowded = flows.select("id", "ip", "class_name").join(first, "ip").join(fit, ["ip", "class_name"], "left")
+    chosen = crowded.groupBy("id").agg(F.min("fit")["domain"].alias("fit"), F.min("first")["domain"].alias("first"))
     chosen = chosen.join(passive.select("id", F.col("domain").alias("seen")), "id", "left").select("id", F.lit(1).alias("pos"), F.coalesce("seen", "fit", "first").alias("domain"))
     named = few.unionByName(chosen.where(~rules.is_infra(F.col("domain"), infra)))
     # the address stands in only where there is nothing to name and nothing to probe
-    bare = flows.select("id", "ip").join(named.select("id"), "id", "left_anti").join(many.select("id").distinct(), "id", "left_anti")
+    bare = flows.select("id", "ip").join(named.select("id"), "id", "left_anti").join(chosen.select("id"), "id", "left_anti")
     bare = bare.where(~rules.is_infra(F.col("ip"), infra)).select("id", F.lit(1).alias("pos"), F.col("ip").alias("domain"))
 
     refs = F.array_distinct(F.concat(F.array("class_name"), "typical"))
     roots = F.array_compact(F.transform(refs, rules.after_first_dot))
+    many = flows.select("id", "ip", "class_name", "typical").join(long_, "ip")
     queue = many.select("id", "domain", F.exists(roots, lambda r: F.endswith(F.col("domain"), r)).alias("priority"))
     return named.unionByName(bare), queue
 

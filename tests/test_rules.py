@@ -333,6 +333,29 @@ def test_alert_numbers_stay_with_their_order(spark):
     assert [r["ts"] for r in sorted(rows)] == sorted(r[0] for r in new.select("ts").collect())
 
 
+def most_rows(plan) -> int:
+    """The rows of the largest step of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return most_rows(plan.plan())
+    rows, below = plan.metrics().get("numOutputRows"), plan.children()
+    return max([rows.get().value() if rows.isDefined() else 0] + [most_rows(below.apply(i)) for i in range(below.size())])
+
+
+def test_candidates_read_a_crowded_list_once(spark):
+    names = ["a.bad.com", "x.y.bad.com", "notbad.com", "bad.com.org", "shop", "n.shop", "cdn.net"]
+    live = [("8.8.8.8", i, f"d{i}.org" if i >= len(names) else names[-1 - i]) for i in range(200)]
+    flows = [(i, "8.8.8.8", [None, "bad.com", "www.bad.com", "shop", "none.org", "d9.org"][i % 6], ["t.org"]) for i in range(300)]
+    f = spark.createDataFrame(flows, "id long, ip string, class_name string, typical array<string>")
+    named, queue = alerting.candidates(f, spark.createDataFrame(live, "ip string, pos int, domain string"), spark.createDataFrame([], "ip string, pos int, domain string"), spark.createDataFrame([], "id long, domain string"), [])
+    want = [["cdn.net", "x.y.bad.com", "x.y.bad.com", "n.shop", "cdn.net", "d9.org"][i % 6] for i in range(300)]
+    assert [r["domain"] for r in sorted(named.collect())] == want
+    assert most_rows(named._jdf.queryExecution().executedPlan()) < 3000  # 60,000 pairs of a flow and a name
+    assert queue.count() == 60_000
+
+
 def test_written_states(spark, tmp_path):
     s = state.State(spark, str(tmp_path / "domains"), state.DOMAINS)
     seen = spark.createDataFrame([("a.org", 10), ("a.org", 30), ("b.org", 20)], "domain string, ts long")
